@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidra.llm import exact_dedup
+from evidra.llm import decontam, exact_dedup
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, decontam)
 
 
 def queries() -> dict:
