@@ -103,6 +103,6 @@ def labelled_sample(docs: DataFrame, label: str, per_value: int, id_col: str = "
     scale = 1 << 30
     return (
         docs.join(F.broadcast(counts.where(F.col(label).isNotNull()).orderBy(F.desc("__n")).limit(1000)), label)
-        .where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(scale)) * F.col("__n") < F.lit(per_value) * F.lit(scale))
+        .where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(scale)).cast("double") * F.col("__n") < float(per_value * scale))
         .drop("__n")
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidra.llm import decontam, exact_dedup, near_dedup, token_files
+from evidra.llm import decontam, exact_dedup, language, near_dedup, quality, token_files
 
-MODULES = (exact_dedup, decontam, token_files, near_dedup)
+MODULES = (exact_dedup, decontam, token_files, near_dedup, language, quality)
 
 
 def queries() -> dict:
