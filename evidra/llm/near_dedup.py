@@ -7,9 +7,10 @@
 3. ROWS of BANDS slots give a bucket each. With 36 bands of 4, a pair at similarity 0.75 shares a bucket with probability
    1 - 1.1e-6, a pair at 0.9 always but once in 10^16.
 4. In each bucket every class is checked against the smallest one, on full sets. Links are united.
-5. Where a bucket still holds several components, the pairs across components are checked, too, unless sizes or the
-   distances to the bucket's smallest class (a metric) rule a link out. Buckets of more than WIDE such classes are first
-   split by every other band they share, until they are small: a linked pair shares about eleven bands.
+5. Where a bucket still holds several components, neighbours in a random order of the bucket are checked, then the pairs
+   across components that nothing rules out. Three exact bounds do: the sizes; the distances to the bucket's smallest class (a
+   metric); and the shingles a document shares with any other such document, which bound every intersection of it. So does, but for one such pair in
+   some thousands, the share of equal slots (LEAST).
 6. Components over all links; classes give their component to their copies.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.llm import textvec as tv
@@ -30,8 +31,9 @@ from evidra.llm.components import components
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 36, 4
 M = BANDS * ROWS
-#: Classes in a bucket up to which pairs across components are formed directly.
-WIDE = 64
+#: Share of equal slots under which a pair of the last round is not read: a pair at similarity 0.75 has a share of 0.75 with
+#: a standard deviation of 0.036 at most.
+LEAST = 0.62
 _U = np.uint64
 
 
@@ -101,16 +103,23 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
         return tv.mix(out + np.arange(1, bands + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-_SIG = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_SIG = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("slots", pa.list_(pa.int8()))])
+
+
+def _lists(full: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """A list of values' row for each full set, an empty one for the others."""
+    ends = np.concatenate([[0], np.cumsum(full * values.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[full].ravel()))
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, text) to (row_id, set size, fingerprint, bucket of each band: none for empty sets)."""
+    """(row_id, text) to (row_id, set size, fingerprint, bucket of each band, low byte of each slot; no lists for empty sets)."""
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("row_id"))
         for a, b, data, off in text_slices(batch, "text", 1 << 20):
             el, begin = shingle_sets(data, off)
-            keys = band_keys(superminhash(el, begin)).view(np.int64)
+            sig = superminhash(el, begin)
+            keys = band_keys(sig).view(np.int64)
             n = np.diff(begin)
             prints = []
             for salt in (101, 202):
@@ -118,8 +127,8 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.cumsum(_rand(el, salt), out=total[1:])
                 prints.append((total[begin[1:]] - total[begin[:-1]]).view(np.int64))
             full = n > 0
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * keys.shape[1])]).astype(np.int32)), pa.array(keys[full].ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), lists], schema=_SIG)
+            slots = (sig & _U(255)).astype(np.uint8).view(np.int8)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), _lists(full, keys), _lists(full, slots)], schema=_SIG)
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("total", pa.int64())])
@@ -175,7 +184,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    sigs = materialise(rows.mapInArrow(signatures, "row_id long, n long, f1 long, f2 long, keys array<long>"), "signatures")
+    sigs = materialise(rows.mapInArrow(signatures, "row_id long, n long, f1 long, f2 long, keys array<long>, slots array<tinyint>"), "signatures")
     # classes of equal sets, folded in each task before the shuffle
     sets = ["n", "f1", "f2"]
     copies = sigs.where("n > 0").groupBy(*sets).agg(F.min("row_id").alias("cls"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -190,48 +199,84 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tested = materialise(_checked(stars, texts), "tested")
     roots = materialise(components(tested.where(_near()).select("a", "b")), "roots")
 
-    # pairs across components inside a bucket
-    placed = crowd.join(roots, F.col("row_id") == F.col("node"), "left").select("key", "head", "row_id", "n", F.coalesce("root", "row_id").alias("root"))
-    spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("key", "size")
-    mixed = placed.join(spread, "key")
-    mixed = mixed.join(tested.select(F.col("a").alias("head"), F.col("b").alias("row_id"), "inter", "total"), ["head", "row_id"], "left")
-    mixed = materialise(mixed.select("key", "head", "row_id", "n", "root", "size", F.coalesce(1 - F.col("inter") / F.col("total"), F.lit(0.0)).alias("far")), "mixed")
+    # what the heads leave apart: first neighbours in each bucket, in an order of its own, then all pairs across components
     links = tested.where(_near()).select("a", "b")
-    found = _across(mixed, sigs, texts)
-    if found is not None:
-        links = links.unionAll(found)
+    bounds = None
+    for neighbours in (True, False):
+        mixed = _mixed(crowd, roots, tested, bounds)
+        if bounds is None:
+            bounds = _shared(mixed, texts)
+            mixed = mixed.join(bounds, "row_id").where(_may_link())
+        pairs = (_neighbours(mixed) if neighbours else _across(mixed, sigs)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = materialise(_checked(pairs, texts), "tested")
+        links = links.unionAll(more.where(_near()).select("a", "b"))
         roots = materialise(components(links), "roots")
+        tested = tested.unionAll(more)
     result = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("row_id", "n", "cls", F.coalesce("root", "cls").alias("component_id"))
-    for x in (sigs, crowd, texts, tested, mixed):
+    for x in (sigs, crowd, texts):
         drop_scratch(x)
     return result.select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("row_id") == F.col("component_id")).alias("kept"))
 
 
-def _across(mixed: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links between components that share a bucket, beyond those with the bucket's head."""
-    if mixed.isEmpty():
-        return None
+def _may_link() -> F.Column:
+    """A link of x has at least 0.75 |union| >= 0.75 |x| common shingles."""
+    return F.col("common") * 100 >= F.col("n") * PERCENT
+
+
+def _mixed(crowd: DataFrame, roots: DataFrame, tested: DataFrame, bounds: DataFrame | None) -> DataFrame:
+    """Rows of the buckets that hold several components, with component and distance from the bucket's head; with bounds,
+    only documents that may have a link that is not known."""
+    placed = crowd.join(roots, F.col("row_id") == F.col("node"), "left").select("key", "head", "row_id", "n", F.coalesce("root", "row_id").alias("root"))
+    if bounds is not None:
+        placed = placed.join(bounds, "row_id").where(_may_link())
+    spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    far = tested.select(F.col("a").alias("head"), F.col("b").alias("row_id"), (1 - F.col("inter") / F.col("total")).alias("far"))
+    mixed = placed.join(spread, "key").join(far, ["head", "row_id"], "left")
+    return materialise(mixed.select("key", "row_id", "n", "root", F.coalesce("far", F.lit(0.0)).alias("far"), *(["common"] if bounds is not None else [])), "mixed")
+
+
+_ELEMENT = pa.schema([("row_id", pa.int64()), ("element", pa.int64())])
+
+
+def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_id, text) to a row for each distinct shingle."""
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("row_id")).to_numpy()
+        for a, b, data, off in text_slices(batch, "text", 1 << 18):
+            el, begin = shingle_sets(data, off)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], np.diff(begin))), pa.array(el.view(np.int64))], schema=_ELEMENT)
+
+
+def _shared(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each document of the mixed buckets, how many of its shingles another of these documents has."""
+    some = texts.join(mixed.select("row_id").distinct(), "row_id", "left_semi").select("row_id", "text")
+    lone = some.mapInArrow(elements, "row_id long, element long").groupBy("element").agg(F.count("*").alias("c"), F.min("row_id").alias("row_id"))
+    lone = lone.where("c = 1").groupBy("row_id").agg(F.count("*").alias("lone"))
+    size = mixed.select("row_id", "n").distinct()
+    return materialise(size.join(lone, "row_id", "left").select("row_id", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common")), "bounds")
+
+
+def _neighbours(mixed: DataFrame) -> DataFrame:
+    order = Window.partitionBy("key").orderBy(F.xxhash64("row_id", "key"))
     pairs = None
-    for depth in range(4):
-        direct = mixed.where(F.col("size") <= WIDE) if depth < 3 else mixed
-        x, y = direct.alias("x"), direct.alias("y")
-        got = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.row_id") < F.col("y.row_id")))
-        got = got.where(
-            (F.col("x.row_id") != F.col("x.head"))
-            & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT)
-            & ((F.col("x.head") != F.col("y.head")) | (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - PERCENT / 100 + 1e-9))
-        ).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))
+    for step in (1, 2):
+        got = mixed.select("row_id", "root", F.lag("row_id", step).over(order).alias("o"), F.lag("root", step).over(order).alias("r")).where("r <> root")
+        got = got.select(F.least("row_id", "o").alias("a"), F.greatest("row_id", "o").alias("b"))
         pairs = got if pairs is None else pairs.unionAll(got)
-        wide = mixed.where(F.col("size") > WIDE)
-        if depth == 3 or wide.isEmpty():
-            break
-        # split by each further band: the pair of buckets is the new bucket
-        other = sigs.select("row_id", F.explode("keys").alias("other"))
-        split = wide.join(other, "row_id").where("key <> other").withColumn("key", F.xxhash64("key", "other")).drop("other", "size")
-        spread = split.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("key", "size")
-        mixed = materialise(split.join(spread, "key").select("key", "head", "row_id", "n", "root", "size", "far"), "mixed")
-    tested = materialise(_checked(pairs.distinct(), texts), "across")
-    return tested.where(_near()).select("a", "b")
+    return pairs
+
+
+def _across(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
+    mixed = mixed.join(sigs.select("row_id", "keys", "slots"), "row_id").withColumn("before", F.slice("keys", 1, F.array_position("keys", F.col("key")).cast("int") - 1)).drop("keys")
+    x, y = mixed.alias("x"), mixed.alias("y")
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.row_id") < F.col("y.row_id")))
+    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT) & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - PERCENT / 100 + 1e-9)
+    # intersection >= 75 / 175 of both sizes together
+    close &= F.least("x.common", "y.common") * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
+    # in the first bucket the two share, once
+    close &= ~F.arrays_overlap("x.before", "y.before")
+    same = F.aggregate(F.zip_with("x.slots", "y.slots", lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
+    return apart.where(close & (same >= int(LEAST * M))).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,10 +33,10 @@ from evidra.llm.common import scratch_path, ship, text_slices
 
 #: A block closes at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 16
-#: Entries of a worker's piece cache; about 150 bytes each.
-CACHE = 300_000
-#: Texts with a space whose place in a run of white space matters go to the library whole.
-_CAREFUL = re.compile(r"\s (?:\s|\Z)")
+#: Entries of a worker's piece cache; about 200 bytes each.
+CACHE = 250_000
+#: Texts with runs of white space, or some at the end, go to the library whole.
+_CAREFUL = re.compile(r"\s(?:\s|\Z)")
 _SAMPLE = 512
 
 
@@ -97,8 +97,11 @@ class EliasFano:
 
 
 class PieceEncoder:
-    """A tokenizers file as text -> bytes of ids. The byte-level pre-tokenizer never joins what stands before a space that a
-    non-space follows with what stands after, so texts are cut there and pieces encoded once."""
+    """A tokenizers file as text -> bytes of ids.
+
+    The byte-level pre-tokenizer cuts before a space that a non-space follows and around a newline between non-spaces, whatever
+    stands there, so texts are cut at these places and each piece is encoded once while it is cached. Pieces that are
+    new go to the library together, a newline between them."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -107,18 +110,28 @@ class PieceEncoder:
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        (self.newline,) = self.tok.encode("\n", add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            ids = np.array(self.tok.encode("\n".join(some), add_special_tokens=False).ids, self.dtype)
+            at = np.flatnonzero(ids == self.newline)
+            raw, w = ids.tobytes(), self.dtype.itemsize
+            starts, ends = [0, *((at + 1) * w).tolist()], [*(at * w).tolist(), len(raw)]
+            self.cache.update((x, raw[a:b]) for x, a, b in zip(some, starts, ends, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _CAREFUL.search(t) else (p := t.split(" "))[:1] + [" " + x for x in p[1:]] for t in texts]
+        # a piece keeps its leading space; "\n" becomes a piece of its own
+        cut = [None if _CAREFUL.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
-        new = list({x for p in cut if p for x in p if x not in cache})
-        for i in range(0, len(new), 20_000):
-            cache.update(zip(new[i : i + 20_000], self.whole(new[i : i + 20_000]), strict=True))
+        cache["\n"] = np.array([self.newline], self.dtype).tobytes()
+        self._learn(list({x for p in cut if p for x in p if x not in cache}))
         careful = iter(self.whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
         return [next(careful) if p is None else b"".join([cache[x] for x in p]) for p in cut]
 
@@ -153,7 +166,7 @@ def _writer(path: str, end_id: int):
 
         for batch in batches:
             row_ids = batch.column(batch.schema.get_field_index("row_id")).to_pylist()
-            for a, b, data, off in text_slices(batch, "text", 4 << 20):
+            for a, b, data, off in text_slices(batch, "text", 1 << 20):
                 raw, off = data.tobytes(), off.tolist()
                 for i, x in enumerate(enc.encode([raw[off[j] : off[j + 1]].decode("utf-8") for j in range(b - a)])):
                     ids.append(row_ids[a + i])
