@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,10 @@ from evidra.llm.common import scratch_path, ship, text_slices
 
 #: A block closes at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 16
-#: Entries of a worker's piece cache; about 200 bytes each.
-CACHE = 250_000
-#: Texts with runs of white space, or some at the end, go to the library whole.
-_CAREFUL = re.compile(r"\s(?:\s|\Z)")
+#: Entries of each of the two generations of a worker's piece cache; about 200 bytes each.
+CACHE = 350_000
+#: Texts with runs of white space, or some at the end, go to the library whole; so do those with the marks used below.
+_CAREFUL = re.compile(r"\s(?:\s|\Z)|[\x01\x02]")
 _SAMPLE = 512
 
 
@@ -101,7 +102,8 @@ class PieceEncoder:
 
     The byte-level pre-tokenizer cuts before a space that a non-space follows and around a newline between non-spaces, whatever
     stands there, so texts are cut at these places and each piece is encoded once while it is cached. Pieces that are
-    new go to the library together, a newline between them."""
+    new go to the library together, a newline between them. In a piece's key, a leading space is left out, \\x01 stands for a leading
+    newline and \\x02 for the start of the text."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -110,30 +112,44 @@ class PieceEncoder:
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         (self.newline,) = self.tok.encode("\n", add_special_tokens=False).ids
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            ids = np.array(self.tok.encode("\n".join(some), add_special_tokens=False).ids, self.dtype)
-            at = np.flatnonzero(ids == self.newline)
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            starts, ends = [0, *((at + 1) * w).tolist()], [*(at * w).tolist(), len(raw)]
-            self.cache.update((x, raw[a:b]) for x, a, b in zip(some, starts, ends, strict=True))
+        newline = np.array([self.newline], self.dtype).tobytes()
+        w = self.dtype.itemsize
+        groups = [new[i : i + 200] for i in range(0, len(new), 200)]
+        for i in range(0, len(groups), 50):
+            some = groups[i : i + 50]
+            texts = ["\n".join([x[1:] if x[:1] in ("\x01", "\x02") else " " + x for x in g]) for g in some]
+            for g, raw in zip(some, self.whole(texts), strict=True):
+                at = np.flatnonzero(np.frombuffer(raw, self.dtype) == self.newline) * w
+                pieces = [raw[a:b] for a, b in zip([0, *(at + w).tolist()], [*at.tolist(), len(raw)], strict=True)]
+                self.cache.update(zip(g, [newline + p if x[:1] == "\x01" else p for x, p in zip(g, pieces, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # a piece keeps its leading space; "\n" becomes a piece of its own
-        cut = [None if _CAREFUL.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        cache["\n"] = np.array([self.newline], self.dtype).tobytes()
-        self._learn(list({x for p in cut if p for x in p if x not in cache}))
+            self.cache, self.old = {}, self.cache
+        get = self.cache.get
+        cut: list[tuple[list[str], list[bytes | None]] | None] = []
+        new: set[str] = set()
+        for t in texts:
+            if _CAREFUL.search(t):
+                cut.append(None)
+                continue
+            pieces = t.replace("\n", " \x01").split(" ")
+            pieces[0] = "\x02" + pieces[0]
+            got = list(map(get, pieces))
+            new.update(compress(pieces, [g is None for g in got]))
+            cut.append((pieces, got))
+        known = new.intersection(self.old)
+        self.cache.update([(x, self.old[x]) for x in known])
+        self._learn(list(new - known))
         careful = iter(self.whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        return [next(careful) if p is None else b"".join([cache[x] for x in p]) for p in cut]
+        return [next(careful) if p is None else b"".join([get(x) if g is None else g for x, g in zip(*p, strict=True)]) for p in cut]
 
 
 _encoders: dict[str, PieceEncoder] = {}
