@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidra.llm import decontam, exact_dedup, language, near_dedup, quality, token_files
+from evidra.llm import decontam, exact_dedup, html_text, language, near_dedup, pieces, quality, token_counts, token_files
 
-MODULES = (exact_dedup, decontam, token_files, near_dedup, language, quality)
+MODULES = (token_counts, language, pieces, html_text, exact_dedup, quality, decontam, token_files, near_dedup)
 
 
 def queries() -> dict:
