@@ -12,7 +12,7 @@ from evidra.functions.text import blank
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: A hearing: nested people, and their opinions.
-HEARING = T.StructType.fromDDL(
+HEARING = (
     "id LONG, metadados_extraidos STRUCT<assunto: STRING, envolvidos: ARRAY<STRUCT<nome: STRING, cargo: STRING, opinioes: ARRAY<STRUCT<"
     "opiniao: STRING, chunks_proximos: ARRAY<STRING>, verificacao_alucinacao: STRUCT<verificacao_manual: BOOLEAN>>>>>>"
 )
