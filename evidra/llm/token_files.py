@@ -111,15 +111,17 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         (self.newline,) = self.tok.encode("\n", add_special_tokens=False).ids
+        #: Empty pieces: newlines next to each other would be one id.
+        self.bare = {"\x02": b"", "\x01": np.array([self.newline], self.dtype).tobytes()}
+        self.cache: dict[str, bytes] = dict(self.bare)
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        newline = np.array([self.newline], self.dtype).tobytes()
+        newline = self.bare["\x01"]
         w = self.dtype.itemsize
         groups = [new[i : i + 200] for i in range(0, len(new), 200)]
         for i in range(0, len(groups), 50):
@@ -132,7 +134,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
-            self.cache, self.old = {}, self.cache
+            self.cache, self.old = dict(self.bare), self.cache
         get = self.cache.get
         cut: list[tuple[list[str], list[bytes | None]] | None] = []
         new: set[str] = set()
