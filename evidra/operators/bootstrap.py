@@ -84,9 +84,17 @@ def summary(deltas: DataFrame, keys: list[str], value: str = "delta", confidence
     return got.select(*keys, "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("ci_low"), F.col("q")[2].alias("ci_high"), "p_positive", "p_negative", "n_valid")
 
 
-def verdict(metric: str | Column = "metric", low: str = "ci_low", high: str = "ci_high") -> Column:
-    """BETTER or WORSE if the interval leaves out 0, by the metric's direction; else INCONCLUSIVE."""
+#: Metrics that are better when lower, and families of contrasts that state a sign instead of a side.
+LOWER_BETTER = ("brier", "fpr")
+INTERACTIONS = ("translation_interaction", "set_effect_interaction")
+
+
+def verdict(metric: str | Column = "metric", low: str = "ci_low", high: str = "ci_high", family: Column | None = None) -> Column:
+    """FAVOR_B or FAVOR_A if the interval of b - a leaves out 0, by the metric's direction; POSITIVE or NEGATIVE for interactions; else INCONCLUSIVE."""
     m = F.col(metric) if isinstance(metric, str) else metric
-    lower_better = m.isin("brier", "fpr")
     up, down = F.col(low) > 0, F.col(high) < 0
-    return F.when((up & ~lower_better) | (down & lower_better), "BETTER").when(up | down, "WORSE").otherwise("INCONCLUSIVE")
+    side = F.when((up & ~m.isin(*LOWER_BETTER)) | (down & m.isin(*LOWER_BETTER)), "FAVOR_B").when(up | down, "FAVOR_A").otherwise("INCONCLUSIVE")
+    if family is None:
+        return side
+    sign = F.when(down, "NEGATIVE").when(up, "POSITIVE").otherwise("INCONCLUSIVE")
+    return F.when(family.isin(*INTERACTIONS), sign).otherwise(side)

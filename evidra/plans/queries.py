@@ -15,7 +15,9 @@ from evidra.functions import text as tx
 from evidra.operators import bootstrap as bs
 from evidra.operators import cost as ct
 from evidra.operators import metrics as me
+from evidra.operators import prompts as pr
 from evidra.operators import quality as qu
+from evidra.operators import report as rp
 from evidra.operators import retrieval as re_
 from evidra.operators import views as vw
 from evidra.sources.readers import table
@@ -413,7 +415,7 @@ def bootstrap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_summary(spark, sf_dir), "mean", "median", "ci_low", "ci_high")
 
 
-@query(f"""WITH {_SUMMARY} SELECT contrast, metric, CASE WHEN (ci_low > 0 AND metric NOT IN ('brier', 'fpr')) OR (ci_high < 0 AND metric IN ('brier', 'fpr')) THEN 'BETTER' WHEN ci_low > 0 OR ci_high < 0 THEN 'WORSE' ELSE 'INCONCLUSIVE' END AS verdict,
+@query(f"""WITH {_SUMMARY} SELECT contrast, metric, CASE WHEN (ci_low > 0 AND metric NOT IN ('brier', 'fpr')) OR (ci_high < 0 AND metric IN ('brier', 'fpr')) THEN 'FAVOR_B' WHEN ci_low > 0 OR ci_high < 0 THEN 'FAVOR_A' ELSE 'INCONCLUSIVE' END AS verdict,
            ci_low <= 0 AND ci_high >= 0 AS crosses_zero FROM sm""")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(spark, sf_dir).select("contrast", "metric", bs.verdict().alias("verdict"), ((F.col("ci_low") <= 0) & (F.col("ci_high") >= 0)).alias("crosses_zero"))
@@ -527,7 +529,34 @@ def signal_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(qu.correlations(s, ["n_chars", "s"], "t"), "pearson", "spearman", digits=6)
 
 
-# -- cost, nested data ------------------------------------------------------------------------------------------------
+# -- prompts, cost, nested data ------------------------------------------------------------------------------------------------
+
+#: Prompts over benchmark items: evidence is the item's paragraphs, the opinion its first words.
+TEMPLATES = [("prompt_1", "sys one", "T: {TEXTO} O: {OPINIAO}"), ("prompt_2", "sys two", "{OPINIAO} given {TEXTO}")]
+
+
+@query("""WITH e AS (SELECT item_id, replace(text, chr(10), chr(10) || chr(10)) AS ev, substring(text, 1, 20) AS op FROM benchmark)
+          SELECT item_id, 'prompt_1' AS prompt_id, 'sys one' AS system_message, sha256('T: ' || ev || ' O: ' || op) AS message_sha256, CAST(length('T: ' || ev || ' O: ' || op) AS INTEGER) AS n_chars FROM e
+          UNION ALL SELECT item_id, 'prompt_2', 'sys two', sha256(op || ' given ' || ev), CAST(length(op || ' given ' || ev) AS INTEGER) FROM e""")
+def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "\n").alias("evidence"), F.substring("text", 1, 20).alias("opinion"))
+    m = pr.messages(b, spark.createDataFrame(TEMPLATES, "prompt_id string, system string, user_template string"))
+    return m.select("item_id", "prompt_id", "system_message", F.sha2("user_message", 256).alias("message_sha256"), F.length("user_message").alias("n_chars"))
+
+
+@query("""WITH t AS (SELECT role, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS c FROM conversations)
+          SELECT role, CAST(sum(c) AS BIGINT) AS total, round(avg(c), 8) AS mean, CAST(quantile_cont(c, 0.5) AS DOUBLE) AS median, count(*) AS n FROM t GROUP BY role""")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("role", F.size(tx.tokens("text")).alias("c"))
+    return rounded(pr.token_totals(c, ["role"], "c"), "mean")
+
+
+@query(f"""WITH {_BY_RUN} SELECT condition, seed, round(r.f1 - rt.f1, 7) AS f1, round(r.mcc - rt.mcc, 7) AS mcc, round(rt.fpr - r.fpr, 7) AS fpr
+           FROM rt, (SELECT f1, mcc, fpr FROM rt WHERE condition = 'set' AND seed = 0) r WHERE NOT (condition = 'set' AND seed = 0)""")
+def reference_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _runs(spark, sf_dir).select("condition", "seed", "f1", "mcc", "fpr")
+    return rounded(rp.deltas(r, (F.col("condition") == "set") & (F.col("seed") == 0), ["f1", "mcc", "fpr"]), "f1", "mcc", "fpr", digits=7)
+
 
 #: Model, input and output price in units of a million tokens.
 PRICES = [("large", "2.50", "10.00"), ("small", "0.15", "0.60"), ("local", "0.96952", "3.87807")]

@@ -61,7 +61,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
 def write_run(tables: dict[str, DataFrame], root: str, config: dict) -> str:

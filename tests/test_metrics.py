@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidra.functions.scalars import ABOVE_ONE
 from evidra.operators import bootstrap as bs
 from evidra.operators import metrics as me
+from evidra.operators import report as rp
 
 
 def frame(spark, y, s, g=None):
@@ -77,4 +78,6 @@ def test_orientation_and_verdict(spark):
     v = spark.createDataFrame([(0, "a", 1.0), (0, "b", 3.0)], "k int, condition string, value double")
     assert bs.contrasts(v, ["k"], "condition", {"b_a": ("a", "b")}).first().delta == 2.0
     d = spark.createDataFrame([("f1", 0.1, 0.2), ("brier", 0.1, 0.2), ("brier", -0.2, -0.1), ("f1", -0.1, 0.1)], "metric string, ci_low double, ci_high double")
-    assert [r[0] for r in d.select(bs.verdict()).collect()] == ["BETTER", "WORSE", "BETTER", "INCONCLUSIVE"]
+    assert [r[0] for r in d.select(bs.verdict()).collect()] == ["FAVOR_B", "FAVOR_A", "FAVOR_B", "INCONCLUSIVE"]
+    e = d.withColumns({"contrast_family": F.lit("translation_interaction"), "significant_direction": F.lit("POSITIVE")})
+    assert [r.expected for r in rp.direction_mismatches(e).collect()] == ["NEGATIVE", "INCONCLUSIVE"]
