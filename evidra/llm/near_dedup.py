@@ -9,8 +9,9 @@
 4. In each bucket every class is checked against the smallest one, on full sets. Links are united.
 5. Where a bucket still holds several components, neighbours in a random order of the bucket are checked, then the pairs
    across components that nothing rules out. Three exact bounds do: the sizes; the distances to the bucket's smallest class (a
-   metric); and the shingles a document shares with any other such document, which bound every intersection of it. So does, but for one such pair in
-   some thousands, the share of equal slots (LEAST).
+   metric); and the shingles a document shares with any other such document, which bound every intersection of it. In no step
+   are pairs with too small a share of equal slots (LEAST) read: a pair at similarity 0.75 falls
+   under it about once in 6,000 times, and is then lost only if nothing else joins the two.
 6. Components over all links; classes give their component to their copies.
 """
 
@@ -31,7 +32,7 @@ from evidra.llm.components import components
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 36, 4
 M = BANDS * ROWS
-#: Share of equal slots under which a pair of the last round is not read: a pair at similarity 0.75 has a share of 0.75 with
+#: Share of equal slots under which a pair is not read: a pair at similarity 0.75 has a share of 0.75 with
 #: a standard deviation of 0.036 at most.
 LEAST = 0.62
 _U = np.uint64
@@ -196,7 +197,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = crowd.where("row_id <> head").groupBy(F.col("head").alias("a"), F.col("row_id").alias("b")).agg(F.count("*").alias("bands"))
     ids = crowd.select("row_id").distinct()
     texts = materialise(rows.join(ids, "row_id", "left_semi"), "candidates")
-    tested = materialise(_checked(stars, texts), "tested")
+    tested = materialise(_checked(_likely(stars, sigs), texts), "tested")
     roots = materialise(components(tested.where(_near()).select("a", "b")), "roots")
 
     # what the heads leave apart: first neighbours in each bucket, in an order of its own, then all pairs across components
@@ -207,7 +208,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if bounds is None:
             bounds = _shared(mixed, texts)
             mixed = mixed.join(bounds, "row_id").where(_may_link())
-        pairs = (_neighbours(mixed) if neighbours else _across(mixed, sigs)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = (_likely(_neighbours(mixed).distinct(), sigs) if neighbours else _across(mixed, sigs).distinct()).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = materialise(_checked(pairs, texts), "tested")
         links = links.unionAll(more.where(_near()).select("a", "b"))
         roots = materialise(components(links), "roots")
@@ -218,6 +219,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return result.select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("row_id") == F.col("component_id")).alias("kept"))
 
 
+def _alike(p: str, q: str) -> F.Column:
+    same = F.aggregate(F.zip_with(p, q, lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, v: acc + v)
+    return same >= int(LEAST * M)
+
+
+def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with enough equal slots."""
+    p, q = (sigs.select(F.col("row_id").alias(c), F.col("slots").alias(f"slots_{c}")) for c in "pq")
+    both = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).join(p, "p").join(q, "q").where(_alike("slots_p", "slots_q"))
+    return both.select(F.col("p").alias("a"), F.col("q").alias("b"))
+
+
 def _may_link() -> F.Column:
     """A link of x has at least 0.75 |union| >= 0.75 |x| common shingles."""
     return F.col("common") * 100 >= F.col("n") * PERCENT
@@ -232,7 +245,7 @@ def _mixed(crowd: DataFrame, roots: DataFrame, tested: DataFrame, bounds: DataFr
     spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     far = tested.select(F.col("a").alias("head"), F.col("b").alias("row_id"), (1 - F.col("inter") / F.col("total")).alias("far"))
     mixed = placed.join(spread, "key").join(far, ["head", "row_id"], "left")
-    return materialise(mixed.select("key", "row_id", "n", "root", F.coalesce("far", F.lit(0.0)).alias("far"), *(["common"] if bounds is not None else [])), "mixed")
+    return materialise(mixed.select("key", "row_id", "n", "root", F.when(F.col("row_id") == F.col("head"), 0.0).otherwise(F.col("far")).alias("far"), *(["common"] if bounds is not None else [])), "mixed")
 
 
 _ELEMENT = pa.schema([("row_id", pa.int64()), ("element", pa.int64())])
@@ -270,13 +283,12 @@ def _across(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
     mixed = mixed.join(sigs.select("row_id", "keys", "slots"), "row_id").withColumn("before", F.slice("keys", 1, F.array_position("keys", F.col("key")).cast("int") - 1)).drop("keys")
     x, y = mixed.alias("x"), mixed.alias("y")
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.row_id") < F.col("y.row_id")))
-    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT) & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - PERCENT / 100 + 1e-9)
+    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT) & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
     # intersection >= 75 / 175 of both sizes together
     close &= F.least("x.common", "y.common") * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
     # in the first bucket the two share, once
     close &= ~F.arrays_overlap("x.before", "y.before")
-    same = F.aggregate(F.zip_with("x.slots", "y.slots", lambda p, q: (p == q).cast("int")), F.lit(0), lambda acc, v: acc + v)
-    return apart.where(close & (same >= int(LEAST * M))).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))
+    return apart.where(close & _alike("x.slots", "y.slots")).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
