@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from evidra.plans import audits  # noqa: F401  registers its queries
 from evidra.plans import queries as q
 from tests.oracle import both
 
