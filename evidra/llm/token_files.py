@@ -22,7 +22,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.llm import textvec
 from evidra.llm.common import scratch_path, ship, text_slices
 
 #: A block closes at so many ids or documents.
-BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 16
-#: Entries of each of the two generations of a worker's piece cache; about 200 bytes each.
-CACHE = 350_000
-#: Texts with runs of white space, or some at the end, go to the library whole; so do those with the marks used below.
-_CAREFUL = re.compile(r"\s(?:\s|\Z)|[\x01\x02]")
+BLOCK_IDS, BLOCK_DOCS = 1 << 15, 1 << 14
+#: Pieces that a worker remembers, about 40 bytes each; and new ones between two merges into the sorted table.
+CACHE, RECENT = 700_000, 60_000
+#: Bytes of text taken at once: the arrays of a slice then stay in the processor's cache.
+SLICE = 1 << 18
 _SAMPLE = 512
 
 
@@ -97,13 +97,22 @@ class EliasFano:
         return out.astype(np.int64)
 
 
+#: White space other than space and newline, in UTF-8.
+_OTHER_SPACE = re.compile(rb"[\t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+_MAY_BE_SPACE = np.zeros(256, bool)
+_MAY_BE_SPACE[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_BYTES = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
 class PieceEncoder:
-    """A tokenizers file as text -> bytes of ids.
+    """A tokenizers file as texts -> ids.
 
-    The byte-level pre-tokenizer cuts before a space that a non-space follows and around a newline between non-spaces, whatever
-    stands there, so texts are cut at these places and each piece is encoded once while it is cached. Pieces that are
-    new go to the library together, a newline between them. In a piece's key, a leading space is left out, \\x01 stands for a leading
-    newline and \\x02 for the start of the text."""
+    The byte-level pre-tokenizer cuts before a single space and around a single newline between non-spaces, whatever stands there. So a
+    text is tiled with pieces, each a space or newline and what follows up to the next; texts with other or repeated white
+    space, or some at the end, go to the library whole. Pieces are known by two 64-bit hashes, of their bytes in order and of their bytes as such; new ones go to the library
+    together, a newline between them, and their ids are kept in a pool that all later texts are put together from."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -112,57 +121,119 @@ class PieceEncoder:
         self.tok.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         (self.newline,) = self.tok.encode("\n", add_special_tokens=False).ids
-        #: Empty pieces: newlines next to each other would be one id.
-        self.bare = {"\x02": b"", "\x01": np.array([self.newline], self.dtype).tobytes()}
-        self.cache: dict[str, bytes] = dict(self.bare)
-        self.old: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        newline = self.bare["\x01"]
-        w = self.dtype.itemsize
-        groups = [new[i : i + 200] for i in range(0, len(new), 200)]
+        self.forget()
+
+    def forget(self) -> None:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        #: Two tables of hash, second hash, place in the pool and number of ids, sorted by hash: a large one and a recent one.
+        self.tables = [none, none]
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of each piece's ids in the pool. A newline in front of a piece is the one between pieces."""
+        starts, sizes = [], []
+        groups = [pieces[i : i + 200] for i in range(0, len(pieces), 200)]
         for i in range(0, len(groups), 50):
             some = groups[i : i + 50]
-            texts = ["\n".join([x[1:] if x[:1] in ("\x01", "\x02") else " " + x for x in g]) for g in some]
-            for g, raw in zip(some, self.whole(texts), strict=True):
-                at = np.flatnonzero(np.frombuffer(raw, self.dtype) == self.newline) * w
-                pieces = [raw[a:b] for a, b in zip([0, *(at + w).tolist()], [*at.tolist(), len(raw)], strict=True)]
-                self.cache.update(zip(g, [newline + p if x[:1] == "\x01" else p for x, p in zip(g, pieces, strict=True)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache, self.old = dict(self.bare), self.cache
-        get = self.cache.get
-        cut: list[tuple[list[str], list[bytes | None]] | None] = []
-        new: set[str] = set()
-        for t in texts:
-            if _CAREFUL.search(t):
-                cut.append(None)
-                continue
-            pieces = t.replace("\n", " \x01").split(" ")
-            pieces[0] = "\x02" + pieces[0]
-            got = list(map(get, pieces))
-            new.update(compress(pieces, [g is None for g in got]))
-            cut.append((pieces, got))
-        known = new.intersection(self.old)
-        self.cache.update([(x, self.old[x]) for x in known])
-        self._learn(list(new - known))
-        careful = iter(self.whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        return [next(careful) if p is None else b"".join([get(x) if g is None else g for x, g in zip(*p, strict=True)]) for p in cut]
+            texts = [(b"\n" + b"\n".join([x[1:] if x[:1] == b"\n" else x for x in g])).decode("utf-8") for g in some]
+            for g, ids in zip(some, self.whole(texts), strict=True):
+                at = np.flatnonzero(ids == self.newline)
+                if len(at) != len(g):
+                    raise ValueError("pieces and newlines differ")
+                lead = np.array([x[:1] != b"\n" for x in g], np.int64)
+                while self.used + len(ids) > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), self.dtype)])
+                self.pool[self.used : self.used + len(ids)] = ids
+                starts.append(at + lead + self.used)
+                sizes.append(np.append(at[1:], len(ids)) - at - lead)
+                self.used += len(ids)
+        return np.concatenate(starts), np.concatenate(sizes).astype(np.int32)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a slice of UTF-8 bytes."""
+        n = len(offsets) - 1
+        space = (data == 0x20) | (data == 0x0A)
+        raw = data.tobytes()
+        # texts that go whole: white space next to white space, at the end, or of another kind
+        inner = offsets[1:-1]
+        pair = space[:-1] & space[1:] if len(data) else space
+        odd = np.flatnonzero(pair) + 1
+        odd = odd[~np.isin(odd, inner)]
+        careful = np.zeros(n, bool)
+        careful[np.searchsorted(offsets, odd, "right") - 1] = True
+        full = np.flatnonzero(np.diff(offsets) > 0)
+        careful[full[space[offsets[full + 1] - 1]]] = True
+        for i in np.flatnonzero(_MAY_BE_SPACE[data]).tolist():
+            if _OTHER_SPACE.match(raw, i):
+                careful[np.searchsorted(offsets, i, "right") - 1] = True
+        out: list[np.ndarray | None] = [None] * n
+        late = np.flatnonzero(careful).tolist()
+        for i, ids in zip(late, self.whole([raw[offsets[i] : offsets[i + 1]].decode("utf-8") for i in late]), strict=True):
+            out[i] = ids
+        # pieces of the others
+        space[offsets[full]] = True
+        begin = np.flatnonzero(space)
+        doc = np.searchsorted(offsets, begin, "right") - 1
+        end = np.append(begin[1:], len(data))
+        keep = ~careful[doc]
+        begin, end, doc = begin[keep], end[keep], doc[keep]
+        if not len(begin):
+            return [np.zeros(0, self.dtype) if x is None else x for x in out]
+        h = textvec.word_hashes(data, begin, end)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data], out=total[1:])
+        g = total[end] - total[begin]
+        key, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if (g != g[first][back]).any():  # two pieces with one half of the hash
+            return [np.array(self.tok.encode(raw[offsets[i] : offsets[i + 1]].decode("utf-8"), add_special_tokens=False).ids, self.dtype) for i in range(n)]
+        if len(self.tables[0][0]) > CACHE:
+            self.forget()
+        start, size, hit = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        for known, check, place, number in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                here = (known[at] == key) & (check[at] == g[first])
+                start[here], size[here] = place[at[here]], number[at[here]]
+                hit |= here
+        new = np.flatnonzero(~hit)
+        if len(new):
+            a, b = begin[first[new]].tolist(), end[first[new]].tolist()
+            start[new], size[new] = self._learn([raw[i:j] for i, j in zip(a, b, strict=True)])
+            rows = (key[new], g[first[new]], start[new].astype(np.int32), size[new].astype(np.int32))
+            self.tables[1] = self._merged(self.tables[1], rows)
+            if len(self.tables[1][0]) > RECENT:
+                self.tables = [self._merged(*self.tables), tuple(x[:0] for x in rows)]
+        where, length = start[back], size[back]
+        edge = np.zeros(len(length) + 1, np.int64)
+        np.cumsum(length, out=edge[1:])
+        ids = self.pool[np.repeat(where - edge[:-1], length) + np.arange(edge[-1])]
+        cut = edge[np.searchsorted(doc, np.arange(n + 1))]
+        return [ids[cut[i] : cut[i + 1]] if x is None else x for i, x in enumerate(out)]
 
 
 _encoders: dict[str, PieceEncoder] = {}
 
+
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder. A function of this module, so that tasks share what it keeps."""
+    return _encoders.get(path) or _encoders.setdefault(path, PieceEncoder(path))
+
+
 _BLOCK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), *((c, pa.int64()) for c in ("n_docs", "n_ids", "part_docs", "part_ids", "low_id", "n_null")), *((c, pa.binary()) for c in ("doc_ids", "bounds", "ids"))])
 _BLOCK_DDL = "part int, seq int, n_docs long, n_ids long, part_docs long, part_ids long, low_id long, n_null long, doc_ids binary, bounds binary, ids binary"
 
 
 def _writer(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoders.get(path) or _encoders.setdefault(path, PieceEncoder(path))
+        enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         part = TaskContext.get().partitionId()
         seq = docs_before = ids_before = 0
@@ -184,12 +255,11 @@ def _writer(path: str, end_id: int):
 
         for batch in batches:
             row_ids = batch.column(batch.schema.get_field_index("row_id")).to_pylist()
-            for a, b, data, off in text_slices(batch, "text", 1 << 20):
-                raw, off = data.tobytes(), off.tolist()
-                for i, x in enumerate(enc.encode([raw[off[j] : off[j + 1]].decode("utf-8") for j in range(b - a)])):
+            for a, _, data, off in text_slices(batch, "text", SLICE):
+                for i, x in enumerate(enc.encode(data, off)):
                     ids.append(row_ids[a + i])
-                    chunks.append(x + end)
-                    held += len(x) // enc.dtype.itemsize + 1
+                    chunks.append(x.tobytes() + end)
+                    held += len(x) + 1
                     if held >= BLOCK_IDS or len(ids) >= BLOCK_DOCS:
                         yield close()
         if ids:
@@ -203,7 +273,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("row_id").sortWithinPartitions("row_id")
-    dealt.mapInArrow(_writer(tokenizer, end_id), _BLOCK_DDL).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(_writer(tokenizer, end_id), _BLOCK_DDL).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 _DOC = pa.schema([("row_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -211,7 +281,8 @@ _DOC = pa.schema([("row_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        for k in range(batch.num_rows):
+            r = batch.slice(k, 1).to_pylist()[0]
             bounds = EliasFano.from_bytes(r["bounds"])
             ids = np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * r["n_ids"] else "<u4").astype("<u4")
             ends = bounds.all()
