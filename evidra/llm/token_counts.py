@@ -162,13 +162,20 @@ def masking_edits(text: str) -> list[Edit]:
     return out
 
 
-_counters: dict[str, Counter] = {}
+_counters: dict[tuple[str, str], Counter] = {}
+
+
+def counter_of(path: str, pattern: str) -> Counter:
+    """The worker's counter. A function of this module, so that tasks share what it keeps."""
+    return _counters.get((path, pattern)) or _counters.setdefault((path, pattern), Counter(path, pattern))
+
+
 _OUT = pa.schema([("row_id", pa.int64()), *((c, pa.int64()) for c in ("n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "n_recounted"))])
 
 
 def _run(path: str, pattern: str, find: Callable[[str], list[Edit]] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counters.get(path) or _counters.setdefault(path, Counter(path, pattern))
+        counter = counter_of(path, pattern)
         for batch in batches:
             rows = batch.column(batch.schema.get_field_index("row_id"))
             given = None if find else batch.column(batch.schema.get_field_index("edits")).to_pylist()
