@@ -35,7 +35,7 @@ from evidra.llm.common import scratch_path, ship, text_slices
 #: A block closes at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 15, 1 << 14
 #: Pieces that a worker remembers, about 40 bytes each; and new ones between two merges into the sorted table.
-CACHE, RECENT = 700_000, 60_000
+CACHE, RECENT = 1_600_000, 60_000
 #: Bytes of text taken at once: the arrays of a slice then stay in the processor's cache.
 SLICE = 1 << 18
 _SAMPLE = 512
