@@ -156,6 +156,26 @@ def test_passages_planted(spark):
     assert {(r.doc_id, r.other_id) for r in passages.repeated_passages(copies).collect()} == {(0, 3), (1, 0), (2, 0), (3, 0)}
 
 
+def test_passages_behind_recurring_phrases(spark):
+    """Each phrase of the passages also stands in earlier documents, in unlike surroundings."""
+    rng = random.Random(7)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for _ in range(4):
+        shared = text(50)
+        rows += [" ".join(text(60) + shared[k : k + 5] + text(60)) for k in range(46) for _ in range(3)]
+        for _ in range(3):
+            want.add((shared[0], len(rows)))
+            rows.append(" ".join(text(80) + shared + text(80)))
+    # the sharing documents come last
+    late = sorted(i for _, i in want)
+    order = [i for i in range(len(rows)) if i not in late] + late
+    df = spark.createDataFrame([(k, rows[i]) for k, i in enumerate(order)], "doc_id long, text string").repartition(5)
+    got = passages.repeated_passages(df).collect()
+    assert {order[r.doc_id] for r in got} == set(late)
+    assert len(got) == len({tuple(r) for r in got})
+
+
 def test_passages_odd(odd, empty):
     assert passages.repeated_passages(odd).count() == 0 and passages.repeated_passages(empty).count() == 0
 
