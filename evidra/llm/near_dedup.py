@@ -9,9 +9,7 @@
 4. In each bucket every class is checked against the smallest one, on full sets. Links are united.
 5. Where a bucket still holds several components, neighbours in a random order of the bucket are checked, then the pairs
    across components that nothing rules out. Three exact bounds do: the sizes; the distances to the bucket's smallest class (a
-   metric); and the shingles a document shares with any other such document, which bound every intersection of it. In no step
-   are pairs with too small a share of equal slots (LEAST) read: a pair at similarity 0.75 falls
-   under it about once in 6,000 times, and is then lost only if nothing else joins the two.
+   metric); and the shingles a document shares with any other such document, which bound every intersection of it.
 6. Components over all links; classes give their component to their copies.
 """
 
@@ -32,9 +30,6 @@ from evidra.llm.components import components
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 36, 4
 M = BANDS * ROWS
-#: Share of equal slots under which a pair is not read: a pair at similarity 0.75 has a share of 0.75 with
-#: a standard deviation of 0.036 at most.
-LEAST = 0.62
 _U = np.uint64
 
 
@@ -104,7 +99,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
         return tv.mix(out + np.arange(1, bands + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-_SIG = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("slots", pa.list_(pa.int8()))])
+_SIG = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
 def _lists(full: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -114,7 +109,7 @@ def _lists(full: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, text) to (row_id, set size, fingerprint, bucket of each band, low byte of each slot; no lists for empty sets)."""
+    """(row_id, text) to (row_id, set size, fingerprint, bucket of each band; no list for empty sets)."""
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("row_id"))
         for a, b, data, off in text_slices(batch, "text", 1 << 20):
@@ -128,8 +123,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.cumsum(_rand(el, salt), out=total[1:])
                 prints.append((total[begin[1:]] - total[begin[:-1]]).view(np.int64))
             full = n > 0
-            slots = (sig & _U(255)).astype(np.uint8).view(np.int8)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), _lists(full, keys), _lists(full, slots)], schema=_SIG)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), _lists(full, keys)], schema=_SIG)
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("total", pa.int64())])
@@ -185,7 +179,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    sigs = materialise(rows.mapInArrow(signatures, "row_id long, n long, f1 long, f2 long, keys array<long>, slots array<tinyint>"), "signatures")
+    sigs = materialise(rows.mapInArrow(signatures, "row_id long, n long, f1 long, f2 long, keys array<long>"), "signatures")
     # classes of equal sets, folded in each task before the shuffle
     sets = ["n", "f1", "f2"]
     copies = sigs.where("n > 0").groupBy(*sets).agg(F.min("row_id").alias("cls"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -194,10 +188,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = heads.select("row_id", "n", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("row_id").alias("head")).where("size > 1")
     crowd = materialise(buckets.join(shared, "key").select("key", "head", "row_id", "n"), "buckets")
-    stars = crowd.where("row_id <> head").groupBy(F.col("head").alias("a"), F.col("row_id").alias("b")).agg(F.count("*").alias("bands"))
+    stars = crowd.where("row_id <> head").select(F.col("head").alias("a"), F.col("row_id").alias("b"), F.col("n").alias("n_b")).distinct()
+    stars = stars.join(heads.select(F.col("row_id").alias("a"), F.col("n").alias("n_a")), "a")
     ids = crowd.select("row_id").distinct()
     texts = materialise(rows.join(ids, "row_id", "left_semi"), "candidates")
-    tested = materialise(_checked(_likely(stars, sigs), texts), "tested")
+    tested = materialise(_checked(stars.where(_sizes("n_a", "n_b")), texts), "tested")
     roots = materialise(components(tested.where(_near()).select("a", "b")), "roots")
 
     # what the heads leave apart: first neighbours in each bucket, in an order of its own, then all pairs across components
@@ -208,7 +203,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if bounds is None:
             bounds = _shared(mixed, texts)
             mixed = mixed.join(bounds, "row_id").where(_may_link())
-        pairs = (_likely(_neighbours(mixed).distinct(), sigs) if neighbours else _across(mixed, sigs).distinct()).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = (_neighbours(mixed).distinct() if neighbours else _across(mixed, sigs).distinct()).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = materialise(_checked(pairs, texts), "tested")
         links = links.unionAll(more.where(_near()).select("a", "b"))
         roots = materialise(components(links), "roots")
@@ -219,16 +214,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return result.select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("row_id") == F.col("component_id")).alias("kept"))
 
 
-def _alike(p: str, q: str) -> F.Column:
-    same = F.aggregate(F.zip_with(p, q, lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, v: acc + v)
-    return same >= int(LEAST * M)
-
-
-def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with enough equal slots."""
-    p, q = (sigs.select(F.col("row_id").alias(c), F.col("slots").alias(f"slots_{c}")) for c in "pq")
-    both = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).join(p, "p").join(q, "q").where(_alike("slots_p", "slots_q"))
-    return both.select(F.col("p").alias("a"), F.col("q").alias("b"))
+def _sizes(p: str, q: str) -> F.Column:
+    """Exact: the smaller of two linked sets has at least 0.75 of the larger one's size."""
+    return F.least(p, q) * 100 >= F.greatest(p, q) * PERCENT
 
 
 def _may_link() -> F.Column:
@@ -280,15 +268,15 @@ def _neighbours(mixed: DataFrame) -> DataFrame:
 
 
 def _across(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
-    mixed = mixed.join(sigs.select("row_id", "keys", "slots"), "row_id").withColumn("before", F.slice("keys", 1, F.array_position("keys", F.col("key")).cast("int") - 1)).drop("keys")
+    mixed = mixed.join(sigs.select("row_id", "keys"), "row_id").withColumn("before", F.slice("keys", 1, F.array_position("keys", F.col("key")).cast("int") - 1)).drop("keys")
     x, y = mixed.alias("x"), mixed.alias("y")
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.row_id") < F.col("y.row_id")))
-    close = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * PERCENT) & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
+    close = _sizes("x.n", "y.n") & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
     # intersection >= 75 / 175 of both sizes together
     close &= F.least("x.common", "y.common") * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
     # in the first bucket the two share, once
     close &= ~F.arrays_overlap("x.before", "y.before")
-    return apart.where(close & _alike("x.slots", "y.slots")).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))
+    return apart.where(close).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -436,6 +436,17 @@ def test_near_chain_and_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want and want[11] == 0
 
 
+def test_near_unlike_signatures(spark):
+    """Pairs at similarity 0.75 that share a bucket, with under 62 % of equal slots."""
+    texts = []
+    for seed in (12702, 20852):
+        r = random.Random(seed)
+        w = [f"{r.getrandbits(30):x}" for _ in range(1604)]
+        texts += [" ".join(w[:1404]), " ".join(w[200:])]
+    got = near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
 def test_near_odd(odd, empty):
     want = brute_components({i: shingles(t) for i, t in enumerate(TEXTS)})
     assert {r.doc_id: r.component_id for r in near_dedup.near_groups(odd).collect()} == want
