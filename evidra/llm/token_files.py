@@ -111,14 +111,15 @@ class PieceEncoder:
 
     The byte-level pre-tokenizer cuts before a single space and around a single newline between non-spaces, whatever stands there. So a
     text is tiled with pieces, each a space or newline and what follows up to the next; texts with other or repeated white
-    space, or some at the end, go to the library whole. Pieces are known by two 64-bit hashes, of their bytes in order and of their bytes as such; new ones go to the library
+    space, or some at the end, or with the content of an added token go to the library whole. Pieces are known by two 64-bit hashes, of their bytes in order and of their bytes as such; new ones go to the library
     together, a newline between them, and their ids are kept in a pool that all later texts are put together from."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: Added tokens are found wherever they stand, so texts with one go whole.
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         (self.newline,) = self.tok.encode("\n", add_special_tokens=False).ids
         self.forget()
@@ -174,6 +175,12 @@ class PieceEncoder:
         for i in np.flatnonzero(_MAY_BE_SPACE[data]).tolist():
             if _OTHER_SPACE.match(raw, i):
                 careful[np.searchsorted(offsets, i, "right") - 1] = True
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                careful[i] = True
+                at = raw.find(content, int(offsets[i + 1]) if at + len(content) <= offsets[i + 1] else at + 1)
         out: list[np.ndarray | None] = [None] * n
         late = np.flatnonzero(careful).tolist()
         for i, ids in zip(late, self.whole([raw[offsets[i] : offsets[i + 1]].decode("utf-8") for i in late]), strict=True):

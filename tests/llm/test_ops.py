@@ -382,6 +382,27 @@ def test_token_files_round_trip(odd, empty, spark, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_added_tokens_equal_plain_library(spark, tmp_path):
+    """Texts with an added token's content against a Tokenizer as it is loaded."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BPE)
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "plain text here", "", "<|endoftext|>", "x<|endoftext|>y\nz <|endoftext|>", "<|endoftext", "|> b", "<|endoftext |>", "one two<|endoftext|>"] * 3
+    raw = [t.encode() for t in texts]
+    e = token_files.PieceEncoder(BPE)
+    for _ in range(2):
+        got = e.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    token_files.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "t"), BPE)
+    read = {r.row_id: r for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect()}
+    at = 0
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert (read[i].start, read[i].n_tokens, read[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 # -- 10 near duplicates
 
 
