@@ -45,12 +45,13 @@ def slots_wide(top: DataFrame, claim_id: str = "claim_id", k: int = SLOTS) -> Da
 
 def tfidf_top_k(claims: DataFrame, units: DataFrame, group: str, claim_id: str, unit_id: str, text_col: str, k: int = SLOTS) -> DataFrame:
     """Cosine of smoothed tf-idf vectors (words and word pairs; the corpus of a claim is itself and its group's units),
-    best k. Groups of at most k units keep all, in order of their id, without a score."""
+    best k. Blank units are left out, units without a common term score 0. Groups of at most k units keep all, in order of their id, without a score."""
+    units = units.where(F.col(text_col).rlike(r"(?U)\S"))
     sized = units.groupBy(F.col(group).alias("__sg")).agg(F.count("*").alias("n_units"))
     docs = claims.select(F.col(claim_id).alias("claim_id"), F.lit(-1).cast("long").alias("unit_id"), F.col(text_col).alias("text"), F.col(group).alias("__g"))
     pairs = claims.select(F.col(claim_id).alias("claim_id"), F.col(group).alias("__g")).join(units.select(F.col(group).alias("__g"), F.col(unit_id).cast("long").alias("unit_id"), F.col(text_col).alias("text")), "__g").select("claim_id", "unit_id", "text", "__g")
     both = docs.unionAll(pairs).join(sized, F.col("__g") == F.col("__sg"))
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0))
     both = both.withColumn("w", words)
     pairs2 = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     terms = both.select("claim_id", "unit_id", "n_units", F.explode(F.concat("w", pairs2)).alias("term")).groupBy("claim_id", "unit_id", "n_units", "term").agg(F.count("*").alias("tf"))
@@ -60,8 +61,9 @@ def tfidf_top_k(claims: DataFrame, units: DataFrame, group: str, claim_id: str,
     claim_side = weighted.where("unit_id = -1").select("claim_id", "term", F.col("x").alias("cx"))
     products = weighted.where("unit_id >= 0").join(claim_side, ["claim_id", "term"], "left").groupBy("claim_id", "unit_id", "n_units").agg(F.sum(F.coalesce(F.col("x") * F.col("cx"), F.lit(0.0))).alias("p"))
     cn = norms.where("unit_id = -1").select("claim_id", F.col("norm").alias("cnorm"))
-    scored = products.join(norms, ["claim_id", "unit_id"]).join(cn, "claim_id", "left")
-    scored = scored.select("claim_id", "unit_id", F.when(F.col("n_units") > k, safe_divide("p", F.col("norm") * F.col("cnorm"))).alias("score"))
+    cosines = products.drop("n_units").join(norms, ["claim_id", "unit_id"]).join(cn, "claim_id", "left").select("claim_id", "unit_id", safe_divide("p", F.col("norm") * F.col("cnorm")).alias("cosine"))
+    scored = both.where("unit_id >= 0").select("claim_id", "unit_id", "n_units").join(cosines, ["claim_id", "unit_id"], "left")
+    scored = scored.select("claim_id", "unit_id", F.when(F.col("n_units") > k, F.coalesce("cosine", F.lit(0.0))).alias("score"))
     rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc_nulls_last("score"), "unit_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
