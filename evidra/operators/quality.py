@@ -81,3 +81,14 @@ def correlations(df: DataFrame, signals: list[str], target: str) -> DataFrame:
     rank = lambda c: F.rank().over(Window.partitionBy("signal").orderBy(c)) + (F.count("*").over(Window.partitionBy("signal", c)) - 1) / 2
     got = long.withColumn("rt", rank("t")).withColumn("rv", rank("v")).groupBy("signal").agg(F.count("*").alias("n"), F.corr("v", "t").alias("pearson"), F.corr("rv", "rt").alias("spearman"), F.stddev_pop("v").alias("sv"), F.stddev_pop("t").alias("st"))
     return got.where("n >= 3 AND sv > 0 AND st > 0").drop("sv", "st")
+
+
+def order_breaks(rows: DataFrame, source: str, output: str, size: int = 100_000) -> DataFrame:
+    """n and out_of_order: rows whose source position is not above that of the row before them by output position. Neighbours meet
+    inside ranges of output positions; the last row of a range is carried over to the next range that has rows."""
+    part = rows.select(F.floor(F.col(output) / size).alias("part"), F.col(output).alias("o"), F.col(source).alias("s"))
+    inside = part.withColumn("before", F.lag("s").over(Window.partitionBy("part").orderBy("o", "s")))
+    totals = inside.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("s") <= F.col("before")).alias("bad"), F.min(F.struct("o", "s")).alias("first"), F.max(F.struct("o", "s")).alias("last"))
+    carried = totals.withColumn("before", F.lag("last.s").over(Window.partitionBy(F.lit(0)).orderBy("part")))
+    bad = F.col("bad") + F.when(F.col("first.s") <= F.col("before"), 1).otherwise(0)
+    return carried.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(bad), F.lit(0)).alias("out_of_order"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.operators import metrics as me
+from evidra.operators import quality as qu
 from evidra.operators import retrieval as re_
 from evidra.operators import views as vw
 from evidra.plans.queries import _CUBE, _SCORED, _TOKENS, RATES, _cells_sql, _claims_spans, _rates_sql, cube, query, rounded, scored
-from evidra.sources.readers import table
+from evidra.sources.readers import placed, table
 
 _CHUNKS = """t{n} AS (SELECT doc_id, {tok} AS t FROM documents WHERE text IS NOT NULL AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
     w{n} AS (SELECT doc_id, t, i FROM (SELECT doc_id, t, unnest(range(0, CAST(greatest(0, ceil((len(t) - {size}) / {step}.0)) AS BIGINT) + 1)) AS i FROM t{n})),
@@ -167,10 +168,10 @@ def fold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents), b AS (SELECT d.doc_id, row_number() OVER (ORDER BY d.doc_id) AS q FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
           SELECT count(*) AS n, count(*) FILTER (WHERE later <= earlier) AS out_of_order FROM (SELECT p AS later, lag(p) OVER (ORDER BY q) AS earlier FROM a JOIN b ON a.doc_id = b.doc_id)""")
 def order_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a filtered output keeps the input's order. Positions are ids here, so neighbours within ranges of ids are enough."""
-    kept = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
-    w = Window.partitionBy(F.floor(F.col("doc_id") / 100_000)).orderBy("doc_id")
-    return kept.withColumn("earlier", F.lag("doc_id").over(w)).agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") <= F.col("earlier")).alias("out_of_order"))
+    """Whether a filtered output (the labels) keeps the input's order (the documents), both as their files hold them."""
+    source = placed(table(spark, sf_dir, "documents"), "earlier").select("doc_id", "earlier")
+    kept = placed(table(spark, sf_dir, "labels"), "later").select("doc_id", "later")
+    return qu.order_breaks(kept.join(source, "doc_id"), "earlier", "later")
 
 
 @query("""WITH p AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS users, count(*) FILTER (WHERE role = 'assistant') AS assistants, max(CASE WHEN role = 'system' THEN length(text) END) AS system_chars FROM conversations GROUP BY conv_id)

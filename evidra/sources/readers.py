@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """df of Parquet files with each row's position in them: files by name, rows as they lie in a file."""
+    files = df.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    files = files.withColumn("__at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__file")).cast("long"))
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return rows.join(F.broadcast(files), "__file").withColumn(name, F.shiftleft("__at", 40) + F.col("__row")).drop("__file", "__at", "__row")
+
+
 def jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """JSON lines, plain or gzip; a line that does not parse or is no object is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
