@@ -66,7 +66,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(local_forest, "a long, b long"), "stars")
 
     def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        # two sums of 64-bit hashes without overflow: edge sets that differ agree in them once in 2^100 and more
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(20,0)"))).first()
 
     before = mark(now)
     while before[0]:

@@ -1,16 +1,20 @@
 """Near-duplicate documents by SuperMinHash, banding, verification and union-find.
 
-1. Each whole text becomes the set of its distinct 5-word shingles (64-bit hashes), a 128-bit fingerprint of the set and
-   a SuperMinHash signature: element d draws a permutation p of the m slots and values j + r_j, and slot p_j keeps the
+1. Each whole text becomes the set of its distinct 5-word shingles (64-bit hashes), a 128-bit fingerprint of the set, a parity
+   sketch and a SuperMinHash signature: element d draws a permutation p of the m slots and values j + r_j, and slot p_j keeps the
    least. Level j can only lower slots whose value is above j, so a text stops at the first level at which no slot is.
 2. Documents with equal sets form a class; only its smallest id goes on. Copies never meet again.
 3. ROWS of BANDS slots give a bucket each. With 36 bands of 4, a pair at similarity 0.75 shares a bucket with probability
    1 - 1.1e-6, a pair at 0.9 always but once in 10^16.
 4. In each bucket every class is checked against the smallest one, on full sets. Links are united.
-5. Where a bucket still holds several components, neighbours in a random order of the bucket are checked, then the pairs
-   across components that nothing rules out. Three exact bounds do: the sizes; the distances to the bucket's smallest class (a
-   metric); and the shingles a document shares with any other such document, which bound every intersection of it.
+5. Where a bucket still holds several components, its rows are checked against the smallest of random parts of it, then all pairs across
+   components that nothing rules out. Large buckets are cut into blocks and pairs of blocks, so that no task holds one.
 6. Components over all links; classes give their component to their copies.
+
+What rules a pair out is exact. Sizes: the smaller set has at least 0.75 of the larger one. The parity sketch: a bit tells whether an odd
+number of the set's elements hash to it, so bits that differ are no more than elements that are in one set only, and two linked sets
+have at most a seventh of both sizes of those. And the shingles that a document shares with any other document of such buckets
+bound every intersection of it.
 """
 
 from __future__ import annotations
@@ -20,16 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm import textvec as tv
-from evidra.llm.common import drop_scratch, materialise, ship, text_slices
+from evidra.llm.common import ARROW_ROWS, drop_scratch, materialise, ship, text_slices
 from evidra.llm.components import components
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 36, 4
 M = BANDS * ROWS
+#: 64-bit words of a parity sketch.
+SKETCH = 32
+#: Random parts of a bucket in the second round of stars, and the rows of a bucket that one task compares with as many others.
+PARTS, CELL = (8, 64, 512), 1024
 _U = np.uint64
 
 
@@ -99,7 +107,16 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
         return tv.mix(out + np.arange(1, bands + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-_SIG = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def parity_sketch(elements: np.ndarray, begin: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """A row of words 64-bit words for each set: the parity of the number of its elements at each bit."""
+    bits, n = words * 64, len(begin) - 1
+    at = np.repeat(np.arange(n), np.diff(begin)) * bits + (_rand(elements, 303) % _U(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+
+
+_SIG = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+_SIG_DDL = "row_id long, n long, f1 long, f2 long, keys array<long>, sketch array<long>"
 
 
 def _lists(full: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -109,7 +126,7 @@ def _lists(full: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, text) to (row_id, set size, fingerprint, bucket of each band; no list for empty sets)."""
+    """(row_id, text) to (row_id, set size, fingerprint, bucket of each band, parity sketch; empty lists for empty sets)."""
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("row_id"))
         for a, b, data, off in text_slices(batch, "text", 1 << 20):
@@ -123,7 +140,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.cumsum(_rand(el, salt), out=total[1:])
                 prints.append((total[begin[1:]] - total[begin[:-1]]).view(np.int64))
             full = n > 0
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), _lists(full, keys)], schema=_SIG)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), _lists(full, keys), _lists(full, parity_sketch(el, begin))], schema=_SIG)
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()), ("total", pa.int64())])
@@ -131,20 +148,21 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64()),
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) to sizes of intersection and union of the full sets. Sets are kept for repeated ids."""
-    kept: OrderedDict[int, np.ndarray] = OrderedDict()
+    kept: OrderedDict[tuple[int, int], np.ndarray] = OrderedDict()
     held = 0
 
     def the_set(i: int, text: str) -> np.ndarray:
         nonlocal held
-        got = kept.get(i)
+        key = (i, hash(text))
+        got = kept.get(key)
         if got is None:
             raw = np.frombuffer(text.encode(), np.uint8)
-            got = kept[i] = shingle_sets(raw, np.array([0, len(raw)], np.int64))[0]
+            got = kept[key] = shingle_sets(raw, np.array([0, len(raw)], np.int64))[0]
             held += len(got)
             while held > 2 << 20 and len(kept) > 2:
                 held -= len(kept.popitem(last=False)[1])
         else:
-            kept.move_to_end(i)
+            kept.move_to_end(key)
         return got
 
     for batch in batches:
@@ -171,47 +189,53 @@ def _near() -> F.Column:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
+    """One row per row of docs: id, n_shingles, component_id, kept.
 
-    Null, empty and white-space texts have no shingles and are linked with nothing. Ids must be unique and not null.
-    Further columns are ignored. An empty table gives no rows.
+    Null, empty and white-space texts have no shingles and are linked with nothing. Rows with a null id are linked with nothing:
+    component_id null, kept. Rows that share an id are one document with several texts: a link of any text is a link of the
+    id, each row has its own n_shingles, and all of them are kept or none. Further columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    sigs = materialise(rows.mapInArrow(signatures, "row_id long, n long, f1 long, f2 long, keys array<long>"), "signatures")
+    sigs = materialise(rows.mapInArrow(signatures, _SIG_DDL), "signatures")
     # classes of equal sets, folded in each task before the shuffle
     sets = ["n", "f1", "f2"]
-    copies = sigs.where("n > 0").groupBy(*sets).agg(F.min("row_id").alias("cls"), F.count("*").alias("c")).where("c > 1").drop("c")
-    member = materialise(sigs.select("row_id", *sets).join(copies, sets, "left").select("row_id", "n", F.coalesce("cls", "row_id").alias("cls")), "classes")
-    heads = sigs.where("n > 0").join(member.where("row_id <> cls").select("row_id"), "row_id", "left_anti")
+    full = F.col("n") > 0
+    known = full & F.col("row_id").isNotNull()
+    copies = sigs.where(known).groupBy(*sets).agg(F.min("row_id").alias("cls"), F.count("*").alias("c")).where("c > 1").drop("c")
+    cls = F.when(F.col("row_id").isNotNull(), F.coalesce("cls", "row_id")).alias("cls")
+    member = materialise(sigs.select("row_id", *sets).join(copies, sets, "left").select("row_id", *sets, cls), "classes")
+    gone = member.where("row_id <> cls").select("row_id", *sets)
+    heads = materialise(sigs.where(known).join(gone, ["row_id", *sets], "left_anti").dropDuplicates(["row_id", *sets]), "heads")
+    drop_scratch(sigs)
     buckets = heads.select("row_id", "n", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("row_id").alias("head")).where("size > 1")
     crowd = materialise(buckets.join(shared, "key").select("key", "head", "row_id", "n"), "buckets")
-    stars = crowd.where("row_id <> head").select(F.col("head").alias("a"), F.col("row_id").alias("b"), F.col("n").alias("n_b")).distinct()
-    stars = stars.join(heads.select(F.col("row_id").alias("a"), F.col("n").alias("n_a")), "a")
     ids = crowd.select("row_id").distinct()
-    texts = materialise(rows.join(ids, "row_id", "left_semi"), "candidates")
-    tested = materialise(_checked(stars.where(_sizes("n_a", "n_b")), texts), "tested")
-    roots = materialise(components(tested.where(_near()).select("a", "b")), "roots")
-
-    # what the heads leave apart: first neighbours in each bucket, in an order of its own, then all pairs across components
-    links = tested.where(_near()).select("a", "b")
-    bounds = None
-    for neighbours in (True, False):
-        mixed = _mixed(crowd, roots, tested, bounds)
-        if bounds is None:
-            bounds = _shared(mixed, texts)
-            mixed = mixed.join(bounds, "row_id").where(_may_link())
-        pairs = (_neighbours(mixed).distinct() if neighbours else _across(mixed, sigs).distinct()).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialise(_checked(pairs, texts), "tested")
+    texts = materialise(rows.join(ids, "row_id", "left_semi").distinct(), "candidates")
+    stars = crowd.where("row_id <> head").select(F.col("head").alias("a"), F.col("row_id").alias("b")).distinct()
+    tested = materialise(_checked(_possible(stars, heads), texts), "tested")
+    # an id with texts of several classes joins these
+    several = member.groupBy("row_id").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 <> c1").select("row_id")
+    joined = member.join(several, "row_id").select(F.col("row_id").alias("a"), F.col("cls").alias("b")).distinct()
+    links = tested.where(_near()).select("a", "b").unionAll(materialise(joined, "joined"))
+    roots = materialise(components(links), "roots")
+
+    # what the heads leave apart: stars of random parts of each bucket, then all pairs across components
+    mixed = _mixed(crowd, roots)
+    bounds = _shared(mixed, texts)
+    mixed = materialise(mixed.join(bounds, "row_id").where(_may_link()), "mixed")
+    for pairs in (_part_stars, lambda m: _across(m, heads)):
+        some = pairs(_mixed(mixed.drop("root", "size"), roots)).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = materialise(_checked(_possible(some, heads), texts), "tested")
         links = links.unionAll(more.where(_near()).select("a", "b"))
         roots = materialise(components(links), "roots")
         tested = tested.unionAll(more)
-    result = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("row_id", "n", "cls", F.coalesce("root", "cls").alias("component_id"))
-    for x in (sigs, crowd, texts):
+    result = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("row_id", "n", F.coalesce("root", "cls").alias("component_id"))
+    for x in (crowd, texts, mixed, heads):
         drop_scratch(x)
-    return result.select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("row_id") == F.col("component_id")).alias("kept"))
+    return result.select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("row_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _sizes(p: str, q: str) -> F.Column:
@@ -219,21 +243,28 @@ def _sizes(p: str, q: str) -> F.Column:
     return F.least(p, q) * 100 >= F.greatest(p, q) * PERCENT
 
 
+def _alike(x: str, y: str) -> F.Column:
+    """Exact: bits that differ are elements of one set only, of which linked sets of s elements together have at most s / 7."""
+    differ = sum(F.bit_count(F.get(f"{x}sketch", F.lit(i)).bitwiseXOR(F.get(f"{y}sketch", F.lit(i)))) for i in range(SKETCH))
+    return differ * (100 + PERCENT) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - PERCENT)
+
+
+def _possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs (a, b) that neither sizes nor sketches rule out."""
+    x, y = (heads.select(F.col("row_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").where(_sizes("a_n", "b_n") & _alike("a_", "b_")).select("a", "b").distinct()
+
+
 def _may_link() -> F.Column:
     """A link of x has at least 0.75 |union| >= 0.75 |x| common shingles."""
     return F.col("common") * 100 >= F.col("n") * PERCENT
 
 
-def _mixed(crowd: DataFrame, roots: DataFrame, tested: DataFrame, bounds: DataFrame | None) -> DataFrame:
-    """Rows of the buckets that hold several components, with component and distance from the bucket's head; with bounds,
-    only documents that may have a link that is not known."""
-    placed = crowd.join(roots, F.col("row_id") == F.col("node"), "left").select("key", "head", "row_id", "n", F.coalesce("root", "row_id").alias("root"))
-    if bounds is not None:
-        placed = placed.join(bounds, "row_id").where(_may_link())
-    spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    far = tested.select(F.col("a").alias("head"), F.col("b").alias("row_id"), (1 - F.col("inter") / F.col("total")).alias("far"))
-    mixed = placed.join(spread, "key").join(far, ["head", "row_id"], "left")
-    return materialise(mixed.select("key", "row_id", "n", "root", F.when(F.col("row_id") == F.col("head"), 0.0).otherwise(F.col("far")).alias("far"), *(["common"] if bounds is not None else [])), "mixed")
+def _mixed(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with their component and the bucket's size."""
+    placed = crowd.join(roots, F.col("row_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "row_id")).drop("node")
+    spread = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("key", "size")
+    return materialise(placed.join(spread, "key").drop("head"), "mixed")
 
 
 _ELEMENT = pa.schema([("row_id", pa.int64()), ("element", pa.int64())])
@@ -253,34 +284,85 @@ def _shared(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     some = texts.join(mixed.select("row_id").distinct(), "row_id", "left_semi").select("row_id", "text")
     lone = some.mapInArrow(elements, "row_id long, element long").groupBy("element").agg(F.count("*").alias("c"), F.min("row_id").alias("row_id"))
     lone = lone.where("c = 1").groupBy("row_id").agg(F.count("*").alias("lone"))
-    size = mixed.select("row_id", "n").distinct()
-    return materialise(size.join(lone, "row_id", "left").select("row_id", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common")), "bounds")
+    size = mixed.groupBy("row_id").agg(F.max("n").alias("most"))
+    return materialise(size.join(lone, "row_id", "left").select("row_id", (F.col("most") - F.coalesce("lone", F.lit(0))).alias("common")), "bounds")
 
 
-def _neighbours(mixed: DataFrame) -> DataFrame:
-    order = Window.partitionBy("key").orderBy(F.xxhash64("row_id", "key"))
+def _part_stars(mixed: DataFrame) -> DataFrame:
+    """Each row with the smallest of its part of the bucket, for parts of several sizes, where the components differ."""
     pairs = None
-    for step in (1, 2):
-        got = mixed.select("row_id", "root", F.lag("row_id", step).over(order).alias("o"), F.lag("root", step).over(order).alias("r")).where("r <> root")
-        got = got.select(F.least("row_id", "o").alias("a"), F.greatest("row_id", "o").alias("b"))
+    for parts in PARTS:
+        row = mixed.where(F.col("size") > parts).select("key", "row_id", "root", F.pmod(F.xxhash64("row_id", F.lit(parts)), F.lit(parts)).alias("part"))
+        first = row.groupBy("key", "part").agg(F.min(F.struct("row_id", "root")).alias("first"))
+        got = row.join(first, ["key", "part"]).where("first.root <> root").select(F.col("first.row_id").alias("a"), F.col("row_id").alias("b"))
         pairs = got if pairs is None else pairs.unionAll(got)
     return pairs
 
 
-def _across(mixed: DataFrame, sigs: DataFrame) -> DataFrame:
-    mixed = mixed.join(sigs.select("row_id", "keys"), "row_id").withColumn("before", F.slice("keys", 1, F.array_position("keys", F.col("key")).cast("int") - 1)).drop("keys")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.row_id") < F.col("y.row_id")))
-    close = _sizes("x.n", "y.n") & F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    # intersection >= 75 / 175 of both sizes together
-    close &= F.least("x.common", "y.common") * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT
-    # in the first bucket the two share, once
-    close &= ~F.arrays_overlap("x.before", "y.before")
-    return apart.where(close).select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b"))
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def across_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, low, high), the cells of buckets, to the pairs (a < b) across components of a cell that sizes, common shingles and
+    sketches leave possible. At most one cell and a batch are held."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        col = {c: table[c].to_numpy() for c in ("key", "low", "high", "block", "row_id", "root", "n", "common")}
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(_U).reshape(-1, SKETCH)
+        new = np.ones(table.num_rows, bool)
+        for c in ("key", "low", "high"):
+            new[1:] &= col[c][1:] == col[c][:-1]
+        new[0] = False
+        cell = np.cumsum(~new)
+        n, common, root, block, row = (col[c] for c in ("n", "common", "root", "block", "row_id"))
+        inner = col["low"] == col["high"]
+        found = []
+        for d in range(1, int(np.bincount(cell).max())):
+            x = np.flatnonzero((cell[:-d] == cell[d:]) & (root[:-d] != root[d:]))
+            y = x + d
+            x = x[(inner[x] | (block[x] != block[y])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * PERCENT)]
+            y = x + d
+            # intersection >= 75 / 175 of both sizes together
+            x = x[np.minimum(common[x], common[y]) * (100 + PERCENT) >= (n[x] + n[y]) * PERCENT]
+            y = x + d
+            differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+            x = x[differ * (100 + PERCENT) <= (n[x] + n[y]) * (100 - PERCENT)]
+            found.append(np.stack([row[x], row[x + d]]))
+        got = np.sort(np.concatenate(found, 1), 0) if found else np.zeros((2, 0), np.int64)
+        got = np.unique(got[:, got[0] != got[1]], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], schema=_PAIRS)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) < 4 * ARROW_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        last = [table[c][-1] for c in ("key", "low", "high")]
+        mask = np.ones(table.num_rows, bool)
+        for c, v in zip(("key", "low", "high"), last, strict=True):
+            mask &= table[c].to_numpy() == v.as_py()
+        cut = int(np.argmax(mask))  # where the last cell begins
+        if cut:
+            yield pairs(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held and sum(x.num_rows for x in held):
+        yield pairs(pa.Table.from_batches(held))
+
+
+def _across(mixed: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs across components of a bucket that nothing rules out. A bucket of more than CELL rows is cut into blocks, and each pair of
+    blocks is a cell of its own."""
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    rows = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    rows = rows.join(heads.select("row_id", "n", "sketch"), ["row_id", "n"]).select("key", "low", "high", "block", "row_id", "root", "n", "common", "sketch")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(across_pairs, "a long, b long")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which each group of near duplicates keeps the smallest id."""
+    """The rows of docs, all columns, of which each group of near duplicates keeps the smallest id. Rows with a null id stay."""
     gone = near_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone"))
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
