@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python; operators slice further by bytes.
 ARROW_ROWS = 256
+#: Label values that a classifier learns at most.
+MOST_LABELS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers of any executor, once per application."""
+    """Make this package importable in Python workers of any executor, once per application; and bound the rows of an Arrow batch for the
+    session (spark.sql.execution.arrow.maxRecordsPerBatch), so that very long texts don't meet in one by the thousands."""
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if getattr(sc, "_evidra_shipped", False):
@@ -34,9 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or an own one where it is unset."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; a
+    cluster's executors could not read that, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_evidra_scratch", None)
         if not base:
             base = spark.sparkContext._evidra_scratch = tempfile.mkdtemp(prefix="evidra-scratch-")
@@ -96,13 +103,29 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[
         a = b
 
 
-def labelled_sample(docs: DataFrame, label: str, per_value: int, id_col: str = "doc_id") -> DataFrame:
+def filter_rows(docs: DataFrame, text_col: str, flags: dict[str, Column], judge: Callable[[pa.RecordBatch, str], np.ndarray]) -> DataFrame:
+    """The rows of docs, all columns, that judge(batch, name of the text column) marks. Rows pass through Python as they are: no id, no
+    shuffle. flags are further columns for the judge alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(judge(batch, text), pa.bool_()))
+
+    names = docs.columns
+    text = f"c{names.index(text_col)}"
+    rows = docs.select(*[v.alias(k) for k, v in flags.items()], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    return rows.mapInArrow(run, rows.schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def labelled_sample(docs: DataFrame, label: str, per_value: int, id_col: str = "doc_id", most_labels: int = MOST_LABELS) -> DataFrame:
     """Ids (and label) of about per_value rows of each label value, chosen by a hash of the id. Label counts come from
-    every row; the choice needs one narrow scan and no sort."""
+    every row; the choice needs one narrow scan and no sort. Of more than most_labels values the most frequent are learned, ties by
+    value: that bounds what a model is trained on."""
     counts = docs.groupBy(label).agg(F.count("*").alias("__n"))
     scale = 1 << 30
     return (
-        docs.join(F.broadcast(counts.where(F.col(label).isNotNull()).orderBy(F.desc("__n")).limit(1000)), label)
+        docs.join(F.broadcast(counts.where(F.col(label).isNotNull()).orderBy(F.desc("__n"), label).limit(most_labels)), label)
         .where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(scale)).cast("double") * F.col("__n") < float(per_value * scale))
         .drop("__n")
     )
