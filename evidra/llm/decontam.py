@@ -14,15 +14,18 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm.common import ship, text_slices
+from evidra.llm.common import filter_rows, materialise, ship, text_slices
 
 WINDOW = 10
 #: Bytes of windows in one automaton; a node takes some 30 bytes, so a block stays under about 150 MB a worker.
 BLOCK_BYTES = 4 << 20
+#: Blocks that texts pass before they are written down: each block of a chain has its own workers.
+CHAIN = 3
 
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _RUN = re.compile(rb"[^ ]+")
@@ -100,74 +103,83 @@ def scan(auto: ahocorasick.Automaton, raw: bytes) -> tuple[int, list[tuple[int,
 
 
 def original_spans(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Word runs as (start, end) code points of the original text."""
+    """Word runs as (start, end) code points of the original text; the text is walked once."""
     at = [m.span() for m in _RUN.finditer(raw.translate(_TABLE))]
-    return [(len(raw[: at[a][0]].decode("utf-8")), len(raw[: at[b - 1][1]].decode("utf-8"))) for a, b in runs]
+    points = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, out=points[1:])
+    return [(int(points[at[a][0]]), int(points[at[b - 1][1]])) for a, b in runs]
 
 
-_OUT = "row_id long, n_words long, runs array<array<long>>, spans array<array<long>>, items array<string>"
-_OUT_ARROW = pa.schema([("row_id", pa.int64()), ("n_words", pa.int64()), *((c, pa.list_(pa.list_(pa.int64()))) for c in ("runs", "spans")), ("items", pa.list_(pa.string()))])
+_LISTS = "runs array<array<long>>, spans array<array<long>>, items array<string>"
+_OUT_ARROW = [("n_words", pa.int64()), *((c, pa.list_(pa.list_(pa.int64()))) for c in ("runs", "spans")), ("items", pa.list_(pa.string()))]
 
 
-def _scanner(key: str, shared):
+def union_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _scanner(key: str, shared, first: bool, last: bool):
+    """Rows (row_id, text and, but for the first block, n_words, runs, items) with what this block adds; the last block gives spans and no text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton(key, shared.value)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("row_id"))
+            ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("row_id", "text"))
             for a, b, data, off in text_slices(batch, "text", 8 << 20):
                 raw, off = data.tobytes(), off.tolist()
+                before = [[None] * (b - a)] * 2 if first else [batch.column(batch.schema.get_field_index(c)).slice(a, b - a).to_pylist() for c in ("runs", "items")]
                 cols: list[list] = [[], [], [], []]
                 for i in range(b - a):
                     text = raw[off[i] : off[i + 1]]
                     n, runs, items, _ = scan(auto, text)
-                    for c, v in zip(cols, (n, runs, original_spans(text, runs) if runs else [], sorted(items)), strict=True):
+                    if before[0][i]:
+                        runs = union_runs([*runs, *map(tuple, before[0][i])])
+                    if before[1][i]:
+                        items |= set(before[1][i])
+                    for c, v in zip(cols, (n, runs, original_spans(text, runs) if runs and last else [], sorted(items)), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, f.type) for c, f in zip(cols, list(_OUT_ARROW)[1:], strict=True))], schema=_OUT_ARROW)
+                made = [pa.array(c, t) for c, (_, t) in zip(cols, _OUT_ARROW, strict=True)]
+                names = ["row_id", *([] if last else ["text"]), *(n for n, _ in _OUT_ARROW)]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *([] if last else [texts.slice(a, b - a)]), *made], names=names)
 
     return run
 
 
+def _benchmark_blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, item_text: str, size: int, block_bytes: int) -> Iterator[tuple[str, object]]:
+    """(key, broadcast windows) of each block; at least one. The driver holds one block at a time."""
+    lines = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(item_text))
+    none = True
+    for block in blocks(((r[0], r[1].encode()) for r in lines.toLocalIterator()), size, block_bytes):
+        none = False
+        yield hashlib.sha256(repr(sorted(block.items())).encode()).hexdigest(), spark.sparkContext.broadcast(block)
+    if none:
+        yield "none", spark.sparkContext.broadcast({b" \xff\xff ": []})
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: row_id, n_words, runs (hit word runs), spans (the same in code points of the original),
+    """One row per row of docs: row_id, n_words, runs (hit word runs), spans (the same in code points of the original),
     items (ids, as text, of the items found, sorted).
 
     Null and wordless texts have no words and no hits. Items without words or id never match. Items that share a window are all
-    found. An empty benchmark finds nothing. Ids may repeat only if one block holds the benchmark.
+    found. An empty benchmark finds nothing. Ids may repeat or be null: rows pass through the blocks one after another, each
+    adding to what the ones before have found, and nothing is shuffled or grouped.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
-    lines = benchmark.where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(item_text))
-    parts = []
-    for block in blocks(((r[0], r[1].encode()) for r in lines.toLocalIterator()), size, block_bytes):
-        key = hashlib.sha256(repr(sorted(block.items())).encode()).hexdigest()
-        parts.append(rows.mapInArrow(_scanner(key, spark.sparkContext.broadcast(block)), _OUT))
-    if not parts:
-        parts.append(rows.mapInArrow(_scanner("none", spark.sparkContext.broadcast({b" \xff\xff ": []})), _OUT))
-    if len(parts) == 1:
-        return parts[0]
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionAll(p)
-    merged = all_parts.groupBy("row_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("runs")).alias("runs"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-
-    def joined(c: str):
-        def step(acc, x):
-            last = F.element_at(acc, -1)
-            return (
-                F.when(F.size(acc) == 0, F.array(x))
-                .when(x[0] <= last[1], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last[0], F.greatest(last[1], x[1])))))
-                .otherwise(F.concat(acc, F.array(x)))
-            )
-
-        return F.aggregate(F.array_sort(c), F.expr("cast(array() as array<array<bigint>>)"), step)
-
-    return merged.select("row_id", "n_words", joined("runs").alias("runs"), joined("spans").alias("spans"), "items")
+    parts = list(_benchmark_blocks(spark, benchmark, item_col, item_text, size, block_bytes))
+    for i, (key, shared) in enumerate(parts):
+        last = i == len(parts) - 1
+        rows = rows.mapInArrow(_scanner(key, shared, not i, last), f"row_id long, {'' if last else 'text string, '}n_words long, {_LISTS}")
+        if i % CHAIN == CHAIN - 1 and not last:
+            rows = materialise(rows, "scanned")
+    return rows
 
 
 def hit_counts(found: DataFrame) -> DataFrame:
@@ -182,10 +194,31 @@ def hit_counts(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those that hold a benchmark window."""
-    bad = find_benchmark(docs, benchmark, id_col, text_col).where(F.size("runs") > 0).select(F.col("row_id").alias("__bad"))
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, without those that hold a benchmark window. Rows pass the blocks as they are, without a shuffle; ids
+    may repeat or be null. Null texts stay."""
+    spark = docs.sparkSession
+    ship(spark)
+
+    def clean(key: str, shared):
+        def judge(batch: pa.RecordBatch, text: str) -> np.ndarray:
+            auto = automaton(key, shared.value)
+            out = []
+            for _, _, data, off in text_slices(batch, text, 8 << 20):
+                raw, off = data.tobytes(), off.tolist()
+                for x, y in zip(off[:-1], off[1:], strict=True):
+                    w = raw[x:y].translate(_TABLE).split()
+                    out.append(not w or next(auto.iter(f" {b' '.join(w).decode('latin-1')} "), None) is None)
+            return np.array(out, bool)
+
+        return judge
+
+    parts = list(_benchmark_blocks(spark, benchmark, item_col, item_text, size, block_bytes))
+    for i, (key, shared) in enumerate(parts):
+        docs = filter_rows(docs, text_col, {}, clean(key, shared))
+        if i % CHAIN == CHAIN - 1 and i < len(parts) - 1:
+            docs = materialise(docs, "scanned")
+    return docs
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
