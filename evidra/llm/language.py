@@ -10,7 +10,7 @@ documents of each language, WINDOWS_PER_DOC windows of each, drawn by hashes of
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm.common import held_out, labelled_sample, ship, text_slices
+from evidra.llm.common import filter_rows, held_out, labelled_sample, ship, text_slices
 
 HIDDEN, WINDOW, BATCH = 16, 256, 2048
 #: Of training: documents of a language, windows of a document, window length, batch, steps, learning rate.
 SAMPLE, WINDOWS_PER_DOC, TRAIN_WINDOW, TRAIN_BATCH, STEPS, RATE = 1500, 2, 96, 256, 350, 0.02
 UNKNOWN = "und"
+#: Mean probability of the predicted language below which drop_unknown takes a text for none of the known languages.
+LEAST = 0.4
 
 
 @dataclass
@@ -244,12 +246,29 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return rows.mapInArrow(_predictor(spark.sparkContext.broadcast(model)), "row_id long, lang_pred string, score double")
 
 
-def drop_unknown(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without those whose language is unknown. Without a model nothing is dropped."""
+def drop_unknown(docs: DataFrame, model: Model | None, text_col: str = "text", languages: Sequence[str] | None = None, least: float = LEAST) -> DataFrame:
+    """The rows of docs, all columns, whose predicted language is one of languages (none given: any that the model knows) with a score of
+    least or more. Null, empty and letterless texts go, with or without a model; without a model all other texts stay, as nothing is
+    predicted. Rows pass as they are: ids may repeat or be null."""
+    spark = docs.sparkSession
+    ship(spark)
+    lettered = {"lettered": F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))}
     if model is None:
-        return docs
-    bad = predict(docs, model, id_col, text_col).where(F.col("lang_pred") == UNKNOWN).select(F.col("row_id").alias("__bad"))
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+        return docs.where(lettered["lettered"])
+    shared, wanted = spark.sparkContext.broadcast(model), None if languages is None else frozenset(languages)
+
+    def judge(batch: pa.RecordBatch, text: str) -> np.ndarray:
+        ok = np.array(batch.column(batch.schema.get_field_index("lettered")).to_pylist(), bool)
+        model: Model = shared.value
+        for a, b, data, off in text_slices(batch, text, 1 << 20):
+            p = document_probabilities(model, data, off)
+            best = p.argmax(1)
+            ok[a:b] &= p[np.arange(len(p)), best] >= least
+            if wanted is not None:
+                ok[a:b] &= np.array([x in wanted for x in model.labels])[best]
+        return ok
+
+    return filter_rows(docs, text_col, lettered, judge)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,10 +105,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
-    """Learn from labelled rows that are not held out; labels other than 0 and 1 and null ids are left out."""
+    """Learn from labelled rows that are not held out; labels other than 0 and 1, null ids and ids with both labels are left out."""
     ship(docs.sparkSession)
     known = labels.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("row_id"), F.col(label_col).cast("int").alias("label"))
-    known = labelled_sample(known.where(F.col("label").isin(0, 1) & F.col("row_id").isNotNull()).dropDuplicates(["row_id"]), "label", sample, "row_id")
+    known = labelled_sample(known.where(F.col("label").isin(0, 1) & F.col("row_id").isNotNull()).groupBy("row_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other"), "label", sample, "row_id")
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "row_id")
     got = rows.select("row_id", "label", "text").mapInArrow(_extract, "row_id long, label int, slots binary, values binary").toPandas().sort_values("row_id", kind="stable")
     return ftrl([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32).astype(float), int(y)) for s, v, y in zip(got["slots"], got["values"], got["label"], strict=True)])

@@ -99,7 +99,14 @@ def test_language_odd(odd, empty):
     assert [i for i in got if got[i].lang_pred == "und"] and all((got[i].lang_pred == "und") == (not any(c.isalpha() for c in t or "")) for i, t in enumerate(TEXTS))
     assert language.predict(empty, model).count() == 0 and language.fit(empty) is None
     assert {r.lang_pred for r in language.predict(odd, None).collect()} == {"und"}
-    assert language.drop_unknown(odd, model).count() == len(TEXTS) - 3 and language.drop_unknown(odd, model).columns == odd.columns
+    for only, least in ((None, 0.0), (["fr"], 0.0), (None, 0.8), (["en"], 0.6)):
+        want = {i for i in got if got[i].lang_pred != "und" and got[i].score >= least and (only is None or got[i].lang_pred in only)}
+        kept = language.drop_unknown(odd, model, languages=only, least=least)
+        assert {r.doc_id for r in kept.collect()} == want and kept.columns == odd.columns
+    lettered = {i for i, t in enumerate(TEXTS) if any(c.isalpha() for c in t or "")}
+    assert {r.doc_id for r in language.drop_unknown(odd, None).collect()} == lettered
+    twice = odd.unionAll(odd).withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(4)).cast("long"))
+    assert language.drop_unknown(twice, None).count() == 2 * len(lettered)
 
 
 # -- 3 passages
@@ -260,8 +267,8 @@ def test_trie():
     for i, k in enumerate(keys):
         n = trie.terminal(k)
         n.owner = 0
-        n.low, n.count = exact_dedup._lower(n.low, i), n.count + 1
-    assert {k: (n.low, n.count) for k, n in trie.terminals()} == {k: (keys.index(k), c) for k, c in Counter(keys).items()}
+        n.low, n.count = exact_dedup._lower(n.low, (i, i)), n.count + 1
+    assert {k: (n.low[0], n.count) for k, n in trie.terminals()} == {k: (keys.index(k), c) for k, c in Counter(keys).items()}
 
 
 def test_exact_odd(odd, empty):
@@ -273,18 +280,40 @@ def test_exact_odd(odd, empty):
     assert exact_dedup.drop_exact(odd).columns == odd.columns and exact_dedup.drop_exact(odd).count() == len(set(norm))
 
 
-def test_spill_changes_nothing(odd, monkeypatch):
-    batches = odd.select(F.col("doc_id").alias("row_id"), F.lit(5).cast("long").alias("hash"), F.lit("s").alias("sha"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"))._jdf  # noqa: F841
+def test_exact_repeated_null_and_shared_ids(spark):
+    rows = [(1, "a b", "x")] * 4 + [(None, "a  b", "y"), (None, "c", "z"), (None, "c", "z"), (2, "a\tb", "y"), (3, "c", "p"), (3, "d", "q"), (4, None, "r"), (5, "", "s"), (5, "d", "t")]
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows]
+    low = {t: min(r[0] for r, u in zip(rows, norm, strict=True) if u == t and r[0] is not None) for t in norm}
+    for parts in (1, 2, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, row_id string").repartition(parts)
+        got = exact_dedup.exact_groups(df).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == Counter((r[0], low[t], norm.count(t), hashlib.sha256(t.encode()).hexdigest()) for r, t in zip(rows, norm, strict=True))
+        assert sum(r.kept for r in got) == len(low) and all(r.doc_id == r.keep_id for r in got if r.kept)
+        kept = exact_dedup.drop_exact(df)
+        assert kept.schema == df.schema
+        assert Counter((re.sub(r"\s+", " ", r.text or ""), r.doc_id) for r in kept.collect()) == Counter(low.items())
+
+
+def test_drop_exact_spills(spark, monkeypatch, corpus):
+    monkeypatch.setattr(exact_dedup, "SPILL_BYTES", 2_000)
+    df = spark.createDataFrame(sorted(corpus.items()), "doc_id long, text string").repartition(3)
+    first = {}
+    for i, t in sorted(corpus.items()):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
+    assert {r.doc_id: r.text for r in exact_dedup.drop_exact(df).collect()} == {i: corpus[i] for i in first.values()}
+
+
+def test_spill_changes_nothing(monkeypatch):
     import pyarrow as pa
 
-    rows = [(i, 5, "s", (t or "").encode()) for i, t in enumerate(TEXTS * 3)]
-    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["row_id", "hash", "sha", "body"])
+    rows = [(i, i, 5, "s", (t or "").encode()) for i, t in enumerate(TEXTS * 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["row", "row_id", "hash", "sha", "body"])
     monkeypatch.setattr(exact_dedup, "SPILL_ROWS", 4)
     out = pa.Table.from_batches(list(exact_dedup.local_tries(iter([batch.slice(i, 3) for i in range(0, len(rows), 3)])))).to_pylist()
     assert len(out) == len(rows)
     terminals = sorted((r for r in out if r["n"] is not None), key=lambda r: (r["size"], r["hash"]))
     merged = pa.Table.from_batches(list(exact_dedup.merged_tries(iter(pa.Table.from_pylist(terminals).to_batches(2))))).to_pylist()
-    keep = {r["owner"]: (r["keep"], r["total"]) for r in merged}
+    keep = {r["o"]: (r["keep"], r["total"]) for r in merged}
     text = [(t or "") for t in TEXTS * 3]
     assert all(keep[r["owner"]] == (text.index(text[r["row_id"]]), text.count(text[r["row_id"]])) for r in out)
 
@@ -333,7 +362,10 @@ def test_hits(spark, odd, block):
         assert (found[i].n_words, sum(b - a for a, b in found[i].runs), found[i].items) == (n, hit, who)
         for a, b in found[i].spans:
             assert t[a:b] == t[a:b].strip() != ""
-    assert decontam.drop_contaminated(odd, bench).columns == odd.columns
+    twice = odd.unionAll(odd).withColumn("doc_id", F.lit(1).cast("long"))
+    assert decontam.find_benchmark(twice, bench, block_bytes=block).count() == 2 * len(TEXTS)
+    kept = decontam.drop_contaminated(twice, bench, block_bytes=block)
+    assert kept.columns == odd.columns and kept.count() == 2 * sum(not brute_hits(t, items)[1] for t in TEXTS)
 
 
 def test_no_benchmark(spark, odd, empty):
@@ -502,7 +534,9 @@ def test_pipeline_equals_brute(spark, sf, corpus):
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = {i: t for i, t in corpus.items() if t and any(c.isalpha() for c in t)}
+    known = {r.row_id for r in language.predict(docs, language.fit(docs)).where(f"lang_pred <> 'und' AND score >= {language.LEAST}").collect()}
+    assert len(known) > 0.97 * sum(any(c.isalpha() for c in t or "") for t in corpus.values())
+    kept = {i: t for i, t in corpus.items() if i in known}
     norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t) for i, t in kept.items()}
     first = {}
     for i in sorted(norm):
