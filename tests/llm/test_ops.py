@@ -228,15 +228,71 @@ def test_html_rules():
     assert html_text.extract("", None) == "" and html_text.extract("plain < text", None) == "plain < text"
 
 
-def test_wrapper_removes_template():
-    bodies = [f"<div><p>Article number {i} says {i * 7}</p><p>Always the same line</p></div>" for i in range(6)]
-    w = html_text.induce([page(i, b) for i, b in enumerate(bodies)])
-    assert html_text.extract(page(9, "<div><p>New words</p><p>Always the same line</p></div>"), w) == "New words"
+def layouts_of(pages):
+    """What the aggregates of the operator give for the pages of one host."""
+    by = defaultdict(dict)
+    for p in pages:
+        tree = html_text.shape(html_text.parse(p))
+        by[str(tree.plain())].setdefault(tree.text, tree)
+    out = []
+    for trees in (list(x.values()) for x in by.values()):
+        stats = []
+        for same in zip(*(t.nodes() for t in trees), strict=True):
+            top = Counter(x.text for x in same).most_common(1)[0][1]
+            stats.append([len(same), top / len(same), sum(x.chars for x in same) / len(same), sum(x.links for x in same) / len(same)])
+        out.append(html_text.Layout(trees[0], len(trees), stats))
+    return out
+
+
+def plain_page(i, extra=""):
+    """Nothing but div and p: the menu, advert and foot change from page to page, the notice does not."""
+    rng = random.Random(i)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    menu = "".join(f"<a href=/{k}>{say(2)}</a> " for k in range(6))
+    body = f"<h1>{say(4)}</h1><p>{say(40)}</p><div>Read this first, on every page</div><h2>{say(3)}</h2><p>{say(60)}</p>"
+    want = [" ".join(x.split()) for x in re.findall(r"<(?:h1|h2|p)>(.*?)</", body)]
+    return f"<html><body><div>{menu}</div><div>{say(5)}</div>{extra}<div>{body}</div><div>{say(7)}</div></body></html>", "\n".join(want)
+
+
+def test_only_alignment_tells(spark):
+    """Plain div pages of one host: right with the wrapper of the host, wrong without."""
+    made = [plain_page(i) for i in range(12)] + [plain_page(i, f"<div><div>Sale {i}</div><div>now</div></div>") for i in range(12, 18)]
+    w = html_text.induce(layouts_of([p for p, _ in made]))
+    assert all(html_text.extract(p, w) == t for p, t in made)
+    assert all(html_text.extract(p, None) != t for p, t in made)
+    rows = [(i, f"http://plain.example/{i}", p) for i, (p, _) in enumerate(made)]
+    for parts in (1, 3):
+        got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts))
+        assert {r.page_id: r.text for r in got.collect()} == {i: t for i, (_, t) in enumerate(made)}
+
+
+def test_two_layouts_of_a_host():
+    """Layouts whose contents do not align have wrappers of their own; a line that all articles share stays."""
+    one = [f"<body><div class=x><section><p>story {i} of {i * 7} {'long ' * 30}</p><p>Always the same line</p></section></div><div>{i}</div></body>" for i in range(6)]
+    two = [f"<body><main><div><div><p>tale {i} {'much ' * 30}</p></div></div></main></body>" for i in range(4)]
+    w = html_text.induce(layouts_of(one + two))
+    assert len(w) == 2
+    assert html_text.extract(one[3], w) == f"story 3 of 21 {'long ' * 29}long\nAlways the same line"
+    assert html_text.extract(two[1], w) == f"tale 1 {'much ' * 29}much"
 
 
 def test_matching():
-    a, b = (html_text.shape(html_text.parse(x)) for x in ("<div><p>a</p><ul><li>1</ul></div>", "<div><h1>x</h1><p>b</p><p>c</p><ul><li>2</ul></div>"))
-    assert html_text.tree_match(a, b)[0] == 5
+    a, b = (html_text.shape(html_text.parse(x)) for x in ("<div>a<section>b</section></div><div>c</div>", "<div>a<section>b</section></div><main>m</main><div>c<div>d</div></div>"))
+    assert html_text.tree_match(a, b)[0] == 7
+    assert html_text.of_plain(a.plain()).plain() == a.plain()
+    table = html_text.TABLE
+    try:
+        html_text.TABLE = 0
+        assert html_text.tree_match(a, b)[0] == 7
+    finally:
+        html_text.TABLE = table
+
+
+@pytest.mark.parametrize("depth", [50, 101, 4000])
+def test_deep_pages_follow_one_rule(depth):
+    pages = [f"<body><div><a href=x>menu {i} {i * i}</a></div>{'<div>' * depth}<p>text {i} {'and ' * 20}</p>{'<div>x</div>' * 2}" for i in range(5)]
+    w = html_text.induce(layouts_of(pages))
+    assert [html_text.extract(p, w) for p in pages] == [f"text {i} {'and ' * 19}and" for i in range(5)]
 
 
 def test_html_odd(spark):
