@@ -1,8 +1,9 @@
-"""Text expressions, and the few splitters that need offsets and so run in Python over Arrow batches."""
+"""Text expressions: sentences, passages, windows and features as Columns. Only nested JSON values are walked in Python, over Arrow batches."""
 
 from __future__ import annotations
 
-import re
+import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,9 +14,22 @@ from evidra.functions.scalars import _c
 
 # A sentence ends at a full stop, exclamation or question mark, closing quotes and brackets after it, white
 # space, and an upper-case letter, digit, quote or opening bracket to come.
-_END = re.compile(r"(?<=[.!?])(?:[\"'”’\])]*)\s+(?=[A-Z0-9\"'“‘\[(])")
-_MARK = r"(?i)(?:^|\n\s*)passage\s+\d+\s*:\s*"
-WORD = r"(?U)\b\w+(?:['’]\w+)*\b"
+_SPACE = r"[\s\x1c-\x1f]"
+_PIECE = r"(?sU).+?(?:(?<=[.!?])[\"'”’\])]*" + _SPACE + r"+(?=[A-Z0-9\"'“‘\[(])|\z)"
+_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+# Fixed value: the mark before a passage, with its number.
+_MARK = r"(?i)(?:^|\n\s*)passage\s+(\d+)\s*:\s*"
+# Patterns of the surface features, in English and Portuguese.
+WORD = r"(?U)\b\w+(?:['’-]\w+)*\b"
+ENUMERATION = r"(?U)(?:^|\n|\s)(?:\*|[-•]|\(?\d+[.)]|[A-Za-z][.)])\s"
+QUOTES = r"[\"“”‘’]"
+NEGATION = r"(?iU)\b(?:not|no|never|without|cannot|can't|didn't|isn't|aren't|won't|não|nunca|sem|nem)\b"
+TERMINAL = r"[.!?؟。！？]$"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def normalise(x: Column | str) -> Column:
@@ -50,36 +64,39 @@ def pair_id(a: Column | str, b: Column | str) -> Column:
 def surface(x: Column | str) -> dict[str, Column]:
     """Surface features of a text by name."""
     t = F.coalesce(_c(x), F.lit(""))
-    count = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))
+    n = F.size(sentences(t))
     return {
-        "n_words": count(WORD),
+        "n_words": F.size(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))),
         "n_chars": F.length(t),
-        "n_sentences": F.greatest(F.lit(1), count(r"[.!?]+(?:\s|$)")),
-        "has_digit": t.rlike(r"\d"),
-        "has_quote": t.rlike("[\"'“”‘’]"),
-        "has_negation": t.rlike(r"(?i)\b(?:no|not|never|none|neither|nor|without)\b"),
-        "has_list": t.rlike(r"(?m)^\s*(?:[-*•]|\d+[.)])\s+"),
-        "ends_sentence": F.rtrim(t).rlike(r"[.!?]$"),
+        "n_sentences": n,
+        "multi_sentence": n > 1,
+        "enumeration": t.rlike(ENUMERATION),
+        "has_digit": t.rlike(r"(?U)\d"),
+        "has_quote": t.rlike(QUOTES),
+        "has_negation": t.rlike(NEGATION),
+        "ends_sentence": F.regexp_replace(t, _EDGES, "").rlike(TERMINAL),
     }
 
 
 def length_metrics(a: Column | str, b: Column | str, low: float = 0.40, high: float = 2.50) -> dict[str, Column]:
-    """Length ratio of a text b to its source a, and flags."""
-    x, y = normalise(a), normalise(b)
+    """Length ratio of a text b to its source a, both as they are, and flags; emptiness, identity and words are those of the normalised texts."""
+    x, y = F.coalesce(_c(a), F.lit("")), F.coalesce(_c(b), F.lit(""))
     ratio = F.try_divide(F.length(y).cast("double"), F.length(x).cast("double"))
     return {
         "source_chars": F.length(x),
         "target_chars": F.length(y),
+        "source_words": F.size(tokens(x)),
+        "target_words": F.size(tokens(y)),
         "ratio": ratio,
-        "target_empty": F.length(y) == 0,
-        "identical": x == y,
+        "target_empty": (normalise(x) != "") & (normalise(y) == ""),
+        "identical": normalise(x) == normalise(y),
         "low_ratio": F.coalesce(ratio < low, F.lit(False)),
         "high_ratio": F.coalesce(ratio > high, F.lit(False)),
     }
 
 
 def longest_run(x: Column | str, unit: int) -> Column:
-    """The longest run of equal adjacent units of so many tokens, over all phases; case is folded.
+    """The longest run of equal adjacent units of so many tokens, over all phases; case is folded. 0 without tokens, else 1 at least.
 
     Token i starts a repeat if it equals token i + unit; r such tokens in a row make r // unit + 1 equal units."""
     t = tokens(F.lower(F.coalesce(_c(x), F.lit(""))))
@@ -94,58 +111,112 @@ def longest_run(x: Column | str, unit: int) -> Column:
         return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
     best = F.aggregate(again, state, step)["best"]
-    return F.when(n < unit, 0).otherwise(F.floor(best / unit).cast("int") + 1)
+    return F.when(n == 0, 0).otherwise(F.floor(best / unit).cast("int") + 1)
 
 
 def odd_controls(x: Column | str) -> Column:
     return F.coalesce(_c(x), F.lit("")).rlike(r"[\x00-\x08\x0B-\x1F\x7F-\x9F]")
 
 
+def _trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, _EDGES, "")
+
+
 def passages(x: Column | str) -> Column:
-    """Texts behind `passage N:` marks; without marks, paragraphs."""
+    """Texts behind `passage N:` marks, ends trimmed; without marks, paragraphs."""
+    t = F.coalesce(_c(x), F.lit(""))
+    parts = F.when(t.rlike(_MARK), F.slice(F.split(t, _MARK), 2, 1_000_000)).otherwise(F.split(t, r"(?U)\n\s*\n"))
+    return F.filter(F.transform(parts, _trimmed), lambda p: p != "")
+
+
+def indexed_passages(x: Column | str) -> Column:
+    """(index, text) of passages, normalised: the index is the mark's number less 1; without marks, the place among non-blank parts
+    between empty lines."""
     t = F.coalesce(_c(x), F.lit(""))
-    parts = F.when(t.rlike(_MARK), F.slice(F.split(t, _MARK), 2, 1_000_000)).otherwise(F.split(t, r"\n\s*\n"))
-    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    marked = F.zip_with(F.regexp_extract_all(t, F.lit(_MARK), F.lit(1)), F.slice(F.split(t, _MARK), 2, 1_000_000), lambda n, p: F.struct((n.cast("int") - 1).alias("index"), normalise(p).alias("text")))
+    plain = F.transform(F.filter(F.transform(F.split(t, r"\n\n"), normalise), lambda p: p != ""), lambda p, i: F.struct(i.alias("index"), p.alias("text")))
+    return F.when(t.rlike(_MARK), F.filter(marked, lambda p: p["text"] != "")).otherwise(plain)
 
 
-def sentence_ranges(text: str) -> list[tuple[int, int]]:
-    """Half-open character ranges of sentences, trimmed; the whole text if there is no end inside."""
-    if not text.strip():
-        return []
-    cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        piece = text[a:b]
-        lead = len(piece) - len(piece.lstrip())
-        body = piece.strip()
-        if body:
-            out.append((a + lead, a + lead + len(body)))
-    return out or [(0, len(text))]
+#: Lengths that are summed at once: prefix sums cost this many steps a value.
+_BLOCK = 256
 
 
-_RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+def _starts(n: Column) -> Column:
+    """Sums of all earlier values of an array, by blocks, so that long arrays cost little more than their length."""
+    add = lambda a, b: a + b
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda k: F.aggregate(F.slice(n, k * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), add))
+    before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+
+    def start(k: Column) -> Callable[[Column], Column]:
+        def at(i: Column) -> Column:
+            b = F.floor(i / _BLOCK).cast("int")
+            return F.get(k, b) + F.aggregate(F.slice(n, b * _BLOCK + 1, i - b * _BLOCK), F.lit(0), add)
+
+        return at
+
+    return let(before, lambda k: F.transform(F.sequence(F.lit(0), F.size(n) - 1), start(k)))
+
+
+def sentences(x: Column | str) -> Column:
+    """Half-open character ranges (start, end) of sentences, trimmed; the whole text if there is no end inside; none for a blank one."""
+    t = F.coalesce(_c(x), F.lit(""))
 
+    def ranges(p: Column) -> Column:
+        def at(s: Column) -> Column:
+            lead = lambda piece: F.length(piece) - F.length(F.regexp_replace(piece, rf"(?U)^{_SPACE}+", ""))
+            all_ = F.zip_with(p, s, lambda piece, a: F.struct((a + lead(piece)).alias("start"), (a + lead(piece) + F.length(_trimmed(piece))).alias("end")))
+            return F.filter(all_, lambda r: r["end"] > r["start"])
 
-@F.pandas_udf(_RANGES)
-def sentences(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": a, "end": b} for a, b in sentence_ranges(t or "")])
+        return let(F.transform(p, F.length), lambda n: let(_starts(n), at))
 
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.when(blank(t), none).otherwise(let(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), ranges))
 
-def joined_ranges(ranges: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges of which a span touches several become one: neighbours always, so a sweep is enough."""
-    out: list[list[int]] = []
-    for a, b in ranges:
-        if out and any(s < out[-1][1] and e > a for s, e in spans if s < b):
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
 
+def joined_ranges(ranges: Column, spans: Column) -> Column:
+    """Ranges of which a span (start, end) touches several become one: neighbours always, so a sweep is enough."""
 
-def flatten_json(value: object, prefix: str = "") -> list[str]:
-    """`path: value` lines of a nested value, keys joined by dots, places in lists in brackets."""
+    def step(acc: Column, r: Column) -> Column:
+        last = F.element_at(acc, -1)
+        meet = F.exists(spans, lambda s: (s["start"] < last["end"]) & (s["end"] > r["start"]) & (s["start"] < s["end"]))
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), r["end"].alias("end"))))
+        return F.when(F.size(acc) == 0, F.array(r)).when(meet, longer).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(ranges, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def sentence_windows(x: Column | str, size: int = 3, stride: int = 2) -> Column:
+    """Texts of size sentences each, a stride apart, joined by spaces; the last is the first that reaches the end."""
+    t = F.coalesce(_c(x), F.lit(""))
+
+    def windows(s: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(s) - size) / stride)).cast("int")
+        return F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(s, i * stride + 1, F.lit(size)), " ")))
+
+    return let(F.transform(sentences(t), lambda r: t.substr(r["start"] + 1, r["end"] - r["start"])), windows)
+
+
+def flatten_value(value: object, prefix: str = "") -> list[str]:
+    """`path: value` lines of a nested value, keys joined by dots, places in lists in brackets; null is written so, blanks stay."""
     if isinstance(value, dict):
-        return [x for k, v in value.items() for x in flatten_json(v, f"{prefix}.{k}" if prefix else str(k))]
+        return [x for k, v in value.items() for x in flatten_value(v, f"{prefix}.{k}" if prefix else str(k))]
     if isinstance(value, list):
-        return [x for i, v in enumerate(value) for x in flatten_json(v, f"{prefix}[{i}]")]
-    return [] if value is None or str(value).strip() == "" else [f"{prefix}: {value}" if prefix else str(value)]
+        return [x for i, v in enumerate(value) for x in flatten_value(v, f"{prefix}[{i}]")]
+    shown = "null" if value is None else str(value)
+    return [f"{prefix}: {shown}" if prefix else shown]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def flatten_json(values: pd.Series) -> pd.Series:
+    """flatten_value of JSON texts; null has no lines, a text that is no JSON is an error."""
+    return values.map(lambda x: [] if x is None else flatten_value(json.loads(x)))
+
+
+def evidence_units(task: Column | str, source: Column | str) -> Column:
+    """What evidence is taken from, by task: the passages of QA, windows of three sentences of Summary, lines of the JSON of Data2txt. Any other
+    task is an error."""
+    task, source = _c(task), _c(source)
+    lines = flatten_json(F.when(task == "Data2txt", source))
+    wrong = F.raise_error(F.concat(F.lit("unknown task: "), F.coalesce(task, F.lit("null")))).cast("array<string>")
+    return F.when(task == "QA", passages(source)).when(task == "Summary", sentence_windows(source)).when(task == "Data2txt", lines).otherwise(wrong)

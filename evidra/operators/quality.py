@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from evidra.functions import text as tx
 
 
-def pair_flags(df: DataFrame, source: str, target: str, min_run: int = 5) -> DataFrame:
-    """Length and repetition flags of text pairs, severity and the exclusion candidate flag."""
+def pair_flags(df: DataFrame, source: str, target: str, min_run: int = 4) -> DataFrame:
+    """Length and repetition flags of text pairs, severity and the exclusion candidate flag. Repetition counts only as far as the target adds to
+    that of its source; it is high from min_run equal units and two more than in the source."""
     m = tx.length_metrics(source, target)
     runs = {f"run_{u}": tx.longest_run(target, u) for u in (1, 2, 3)}
     src = {f"source_run_{u}": tx.longest_run(source, u) for u in (1, 2, 3)}
     out = df.select("*", *[v.alias(k) for k, v in (m | runs | src).items()])
     worst = F.greatest("run_1", "run_2", "run_3")
     theirs = F.greatest("source_run_1", "source_run_2", "source_run_3")
-    severity = F.when((worst >= min_run) & (worst > theirs), "high").when((worst >= 3) & (worst > theirs), "medium").when(worst >= 2, "low").otherwise("none")
-    out = out.withColumn("longest_run", worst).withColumn("repetition", severity)
+    excess = worst - theirs
+    severity = F.when((worst < 2) | (excess <= 0), "none").when((worst >= min_run) & (excess >= 2), "high").when(worst >= 3, "medium").otherwise("low")
+    out = out.withColumn("longest_run", worst).withColumn("repetition_excess", excess).withColumn("repetition", severity)
+    out = out.withColumn("control_character_issue", tx.odd_controls(target))
     return out.withColumn("excluded", F.col("low_ratio") | F.col("high_ratio") | (F.col("repetition") == "high"))
 
 
@@ -66,20 +69,36 @@ def quantile_buckets(df: DataFrame, value: str, k: int) -> DataFrame:
     return df.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter(inner, lambda e: e < F.col(value)))).drop("edges")
 
 
-def filtered_steps(df: DataFrame, value: str, steps: int = 20, upto: float = 0.9) -> DataFrame:
-    """Each row for each step whose cut it passes: the first cut keeps all, later ones drop a growing share of the lowest values."""
+def filtered_steps(df: DataFrame, value: str, keep: list[str], steps: int = 21, upto: float = 0.9) -> DataFrame:
+    """(step, keep, w): how many rows with these values pass each step's cut. The first cut keeps all, later ones drop a growing share of the lowest
+    values. Cuts rise, so a row passes the first ones; rows are counted by how many before counts are set out by step."""
     shares = [upto * i / (steps - 1) for i in range(steps)]
     cuts = df.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("q"), F.min(value).alias("low"))
     cuts = cuts.select(F.transform("q", lambda x, i: F.when(i == 0, F.col("low").cast("double") - 1).otherwise(x)).alias("cuts"))
-    passing = F.filter(F.transform("cuts", lambda c, i: F.when(F.col(value) >= c, i)), lambda i: i.isNotNull())
-    return df.join(F.broadcast(cuts)).withColumn("step", F.explode(passing)).drop("cuts")
+    passed = F.size(F.filter("cuts", lambda c: c <= F.col(value)))
+    counts = df.join(F.broadcast(cuts)).groupBy(*keep, passed.alias("passed")).agg(F.count("*").alias("w")).where("passed > 0")
+    return counts.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("passed") - 1))).groupBy("step", *keep).agg(F.sum("w").alias("w"))
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, rank: str, bins: int = 256) -> DataFrame:
+    """(keys, value, rank) of the distinct values: ties share the mean of their ranks. Values fall into bins by approximate percentiles of the key,
+    sums run inside a bin, and bins' totals carry over, so that no key meets in one task."""
+    edges = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(4 * bins)).alias("__edges"))
+    at = df.groupBy(*keys, value).agg(F.count("*").alias("__n")).join(edges, keys)
+    at = at.withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    inside = Window.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("__upto", F.sum("__n").over(inside))
+    totals = at.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__all"))
+    below = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__bin", F.coalesce(F.sum("__all").over(below), F.lit(0)).alias("__below"))
+    return at.join(totals, [*keys, "__bin"]).select(*keys, value, (F.col("__below") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(rank))
 
 
 def correlations(df: DataFrame, signals: list[str], target: str) -> DataFrame:
     """Pearson and Spearman of each signal with the target, for signals of at least three rows that vary."""
     long = df.select(F.col(target).cast("double").alias("t"), *[F.col(s).cast("double").alias(s) for s in signals]).unpivot("t", signals, "signal", "v").where("v IS NOT NULL AND t IS NOT NULL")
-    rank = lambda c: F.rank().over(Window.partitionBy("signal").orderBy(c)) + (F.count("*").over(Window.partitionBy("signal", c)) - 1) / 2
-    got = long.withColumn("rt", rank("t")).withColumn("rv", rank("v")).groupBy("signal").agg(F.count("*").alias("n"), F.corr("v", "t").alias("pearson"), F.corr("rv", "rt").alias("spearman"), F.stddev_pop("v").alias("sv"), F.stddev_pop("t").alias("st"))
+    ranked = long.join(average_ranks(long, ["signal"], "t", "rt"), ["signal", "t"]).join(average_ranks(long, ["signal"], "v", "rv"), ["signal", "v"])
+    got = ranked.groupBy("signal").agg(F.count("*").alias("n"), F.corr("v", "t").alias("pearson"), F.corr("rv", "rt").alias("spearman"), F.stddev_pop("v").alias("sv"), F.stddev_pop("t").alias("st"))
     return got.where("n >= 3 AND sv > 0 AND st > 0").drop("sv", "st")
 
 

@@ -86,6 +86,22 @@ def sentence_claims(df: DataFrame, id_col: str, text_col: str, min_words: int =
     return s.where(tx.word_count("claim") >= min_words).withColumn("example_id", F.concat_ws(":", F.col(id_col).cast("string"), "claim_start", "claim_end"))
 
 
+def labelled_claims(df: DataFrame, id_col: str, text_col: str, spans_col: str, min_words: int = 3, granularity: str = "claim", merge: bool = True) -> DataFrame:
+    """Claims of responses with their label: sentences, those that a labelled span joins as one (unless merge is false), with at least
+    min_words words; or the whole response. spans_col: array of (start, end). example_id, claim_index, claim_start, claim_end, claim, label."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    spans = F.coalesce(F.col(spans_col), F.array().cast("array<struct<start:int,end:int>>"))
+    if granularity == "response":
+        whole = df.select(id_col, F.lit(0).alias("claim_index"), F.lit(0).alias("claim_start"), F.length(t).alias("claim_end"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "").alias("claim"), (F.size(spans) > 0).alias("label"))
+        return whole.where("claim <> ''").withColumn("example_id", F.concat_ws(":", F.col(id_col).cast("string"), "claim_start", "claim_end"))
+    if granularity != "claim":
+        raise ValueError(f"granularity must be claim or response, not {granularity}")
+    ranges = tx.joined_ranges(tx.sentences(t), spans) if merge else tx.sentences(t)
+    s = df.select(F.col(id_col), t.alias("__t"), spans.alias("__s"), F.posexplode(ranges).alias("claim_index", "__r"))
+    s = s.select(id_col, "claim_index", F.col("__r.start").alias("claim_start"), F.col("__r.end").alias("claim_end"), F.col("__t").substr(F.col("__r.start") + 1, F.col("__r.end") - F.col("__r.start")).alias("claim"), label_of(F.col("__r"), F.col("__s")).alias("label"))
+    return s.where(tx.word_count("claim") >= min_words).withColumn("example_id", F.concat_ws(":", F.col(id_col).cast("string"), "claim_start", "claim_end"))
+
+
 def label_of(claim: Column, spans: Column) -> Column:
     """Whether any span (struct start, end) touches the claim (struct start, end)."""
     return F.exists(spans, lambda s: (s["start"] < claim["end"]) & (s["end"] > claim["start"]))

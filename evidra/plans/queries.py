@@ -160,14 +160,16 @@ def sentence_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- text features ----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT l.quality AS label, count(*) AS n, round(avg(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[''’][\\p{L}\\p{N}_]+)*'))), 6) AS n_words, round(avg(length(text)), 6) AS n_chars,
-                 round(avg(CAST(regexp_matches(text, '[0-9]') AS INTEGER)), 6) AS has_digit, round(avg(CAST(regexp_matches(rtrim(text), '[.!?]$') AS INTEGER)), 6) AS ends_sentence
+@query("""SELECT l.quality AS label, count(*) AS n, round(avg(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+(?:[''’-][\\p{L}\\p{N}_]+)*'))), 6) AS n_words, round(avg(length(text)), 6) AS n_chars,
+                 round(avg(CAST(regexp_matches(text, '[0-9]') AS INTEGER)), 6) AS has_digit, round(avg(CAST(regexp_matches(text, '[.!?؟。！？]\\s*$') AS INTEGER)), 6) AS ends_sentence, round(avg(CAST(regexp_matches(text, '["“”‘’]') AS INTEGER)), 6) AS has_quote,
+                 round(avg(CAST(regexp_matches(text, '(?:^|\\n|\\s)(?:\\*|[-•]|\\(?\\d+[.)]|[A-Za-z][.)])\\s') AS INTEGER)), 6) AS enumeration
           FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY l.quality""")
 def surface_features_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tx.surface("text")
-    d = table(spark, sf_dir, "documents").select("doc_id", *[f[c].alias(c) for c in ("n_words", "n_chars", "has_digit", "ends_sentence")])
+    names = ("n_words", "n_chars", "has_digit", "ends_sentence", "has_quote", "enumeration")
+    d = table(spark, sf_dir, "documents").select("doc_id", *[f[c].alias(c) for c in names])
     j = d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("quality").alias("label"))
-    return rounded(j.agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("int")).alias(c) for c in ("n_words", "n_chars", "has_digit", "ends_sentence")]), "n_words", "n_chars", "has_digit", "ends_sentence", digits=6)
+    return rounded(j.agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("int")).alias(c) for c in names]), *names, digits=6)
 
 
 @query(f"""WITH {_SCORED} SELECT label, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(coalesce(stddev_samp(n_chars), 0), 6) AS std, CAST(min(n_chars) AS DOUBLE) AS min, CAST(max(n_chars) AS DOUBLE) AS max,
@@ -193,21 +195,35 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("role = 'assistant' AND prev = 'user'").select("conv_id", "turn", "source", F.col("text").alias("target"))
 
 
-@query(f"""WITH {_PAIRS}, n AS (SELECT conv_id, turn, length(trim(regexp_replace(source, '\\s+', ' ', 'g'))) AS a, length(trim(regexp_replace(target, '\\s+', ' ', 'g'))) AS b, trim(regexp_replace(source, '\\s+', ' ', 'g')) = trim(regexp_replace(target, '\\s+', ' ', 'g')) AS same FROM pr WHERE role = 'assistant' AND prev = 'user')
-           SELECT conv_id, turn, CAST(a AS INTEGER) AS source_chars, CAST(b AS INTEGER) AS target_chars, round(CAST(b AS DOUBLE) / nullif(a, 0), 8) AS ratio, b = 0 AS target_empty, same AS identical,
+@query(f"""WITH {_PAIRS}, n AS (SELECT conv_id, turn, length(coalesce(source, '')) AS a, length(coalesce(target, '')) AS b, trim(regexp_replace(coalesce(source, ''), '\\s+', ' ', 'g')) AS x, trim(regexp_replace(coalesce(target, ''), '\\s+', ' ', 'g')) AS y FROM pr WHERE role = 'assistant' AND prev = 'user')
+           SELECT conv_id, turn, CAST(a AS INTEGER) AS source_chars, CAST(b AS INTEGER) AS target_chars, CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END::INTEGER AS source_words, CASE WHEN y = '' THEN 0 ELSE len(string_split(y, ' ')) END::INTEGER AS target_words,
+                  round(CAST(b AS DOUBLE) / nullif(a, 0), 8) AS ratio, x <> '' AND y = '' AS target_empty, x = y AS identical,
                   coalesce(CAST(b AS DOUBLE) / nullif(a, 0) < 0.4, false) AS low_ratio, coalesce(CAST(b AS DOUBLE) / nullif(a, 0) > 2.5, false) AS high_ratio FROM n""")
 def length_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = turn_pairs(spark, sf_dir)
     return rounded(p.select("conv_id", "turn", *[v.alias(k) for k, v in tx.length_metrics("source", "target").items()]), "ratio")
 
 
-@query()
+_RUNS = f"""{_PAIRS}, ps AS (SELECT conv_id, turn, coalesce(source, '') AS source, coalesce(target, '') AS target FROM pr WHERE role = 'assistant' AND prev = 'user'),
+    sd AS (SELECT conv_id, turn, 's' AS side, source AS x FROM ps UNION ALL SELECT conv_id, turn, 't', target FROM ps),
+    tk AS (SELECT conv_id, turn, side, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM (SELECT conv_id, turn, side, string_split(lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))), ' ') AS t FROM sd)),
+    un AS (SELECT tk.*, u, lead(tok, u) OVER (PARTITION BY conv_id, turn, side, u ORDER BY i) = tok AS same FROM tk, (SELECT unnest(range(1, 4)) AS u) WHERE tok <> ''),
+    il AS (SELECT conv_id, turn, side, u, same, i - row_number() OVER (PARTITION BY conv_id, turn, side, u, same ORDER BY i) AS g FROM un),
+    rn AS (SELECT conv_id, turn, side, u, max(n) AS r FROM (SELECT conv_id, turn, side, u, g, CASE WHEN same THEN count(*) ELSE 0 END AS n FROM il GROUP BY conv_id, turn, side, u, g, same) GROUP BY 1, 2, 3, 4),
+    rl AS (SELECT ps.conv_id, ps.turn, {", ".join(f"coalesce(max(CASE WHEN side = 't' AND u = {u} THEN r // {u} + 1 END), 0)::INTEGER AS run_{u}" for u in (1, 2, 3))}, coalesce(max(CASE WHEN side = 's' THEN r // u + 1 END), 0)::INTEGER AS src, any_value(source) AS source, any_value(target) AS target
+           FROM ps LEFT JOIN rn ON ps.conv_id = rn.conv_id AND ps.turn = rn.turn GROUP BY ps.conv_id, ps.turn),
+    sv AS (SELECT *, greatest(run_1, run_2, run_3) AS longest_run, CASE WHEN greatest(run_1, run_2, run_3) < 2 OR greatest(run_1, run_2, run_3) <= src THEN 'none' WHEN greatest(run_1, run_2, run_3) >= 4 AND greatest(run_1, run_2, run_3) >= src + 2 THEN 'high'
+                  WHEN greatest(run_1, run_2, run_3) >= 3 THEN 'medium' ELSE 'low' END AS repetition, CAST(length(target) AS DOUBLE) / nullif(length(source), 0) AS ratio FROM rl),
+    ex AS (SELECT *, coalesce(ratio < 0.4 OR ratio > 2.5, false) OR repetition = 'high' AS excluded FROM sv)"""
+
+
+@query(f"""WITH {_RUNS} SELECT conv_id, turn, run_1, run_2, run_3, longest_run, repetition, excluded FROM ex""")
 def repetition_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = qu.pair_flags(turn_pairs(spark, sf_dir), "source", "target")
-    return p.select("conv_id", "turn", "run_1", "run_2", "run_3", "longest_run", "repetition", "excluded", tx.pair_id("source", "target").alias("pair_id"))
+    return p.select("conv_id", "turn", "run_1", "run_2", "run_3", "longest_run", "repetition", "excluded")
 
 
-@query()
+@query(f"""WITH {_RUNS} SELECT conv_id, bool_or(excluded) AS candidate, count(*) FILTER (WHERE excluded) AS n_excluded, count(*) AS n_pairs FROM ex GROUP BY conv_id""")
 def exclusion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations of which any pair is excluded."""
     p = qu.pair_flags(turn_pairs(spark, sf_dir), "source", "target")
@@ -497,10 +513,10 @@ def segment_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(qu.roll_up(c, "conv_id", "score", "flag"), "min_score", "mean_score", "max_score", "claim_score", "rest_score")
 
 
-@query(f"WITH {_SCORED} SELECT doc_id, round(-(label * ln(greatest(least(s, 1 - 1e-6), 1e-6)) + (1 - label) * ln(1 - greatest(least(s, 1 - 1e-6), 1e-6))), 8) AS log_loss, round(abs(s - label), 8) AS abs_error, (s >= 0.5) = (label = 1) AS correct FROM sc")
+@query(f"WITH {_SCORED} SELECT doc_id, round(-(label * ln(greatest(least(s, 1 - 1e-6), 1e-6)) + (1 - label) * ln(1 - greatest(least(s, 1 - 1e-6), 1e-6))), 8) AS log_loss, round(abs(greatest(least(s, 1 - 1e-6), 1e-6) - label), 8) AS abs_error, (s >= 0.5) = (label = 1) AS correct FROM sc")
 def log_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
-    return s.select("doc_id", F.round(sc.log_loss("label", "s"), 8).alias("log_loss"), F.round(F.abs(F.col("s") - F.col("label")), 8).alias("abs_error"), ((F.col("s") >= 0.5) == (F.col("label") == 1)).alias("correct"))
+    return s.select("doc_id", F.round(sc.log_loss("label", "s"), 8).alias("log_loss"), F.round(F.abs(sc.clip("s", 1e-6, 1 - 1e-6) - F.col("label")), 8).alias("abs_error"), ((F.col("s") >= 0.5) == (F.col("label") == 1)).alias("correct"))
 
 
 @query(f"""WITH {_SCORED}, e AS (SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS q2, quantile_cont(n_chars, 0.75) AS q3, min(n_chars) AS lo, max(n_chars) AS hi FROM sc),
@@ -511,12 +527,12 @@ def qcut_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(me.confusion(b, ["bucket"], "label", F.col("s") >= 0.5), *RATES)
 
 
-@query(f"""WITH {_SCORED}, ct AS (SELECT i, CASE WHEN i = 0 THEN (SELECT min(n_chars) - 1 FROM sc)::DOUBLE ELSE quantile_cont END AS cut FROM ({' UNION ALL '.join(f'SELECT {i} AS i, (SELECT quantile_cont(n_chars, {0.9 * i / 4}) FROM sc) AS quantile_cont' for i in range(5))})),
+@query(f"""WITH {_SCORED}, ct AS (SELECT i, CASE WHEN i = 0 THEN (SELECT min(n_chars) - 1 FROM sc)::DOUBLE ELSE quantile_cont END AS cut FROM ({' UNION ALL '.join(f'SELECT {i} AS i, (SELECT quantile_cont(n_chars, {0.9 * i / 20}) FROM sc) AS quantile_cont' for i in range(21))})),
            f AS (SELECT CAST(i AS INTEGER) AS step, label, s AS score FROM sc JOIN ct ON n_chars >= cut), {_ranking_sql('f', 'step')}
            SELECT step, n, positives, round(average_precision, 8) AS average_precision, round(auroc, 8) AS auroc FROM rk WHERE positives > 0 AND positives < n""")
 def filtered_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = qu.filtered_steps(scored(spark, sf_dir), "n_chars", 5)
-    r = me.ranking(f, ["step"], "label", "s").where("positives > 0 AND positives < n")
+    f = qu.filtered_steps(scored(spark, sf_dir), "n_chars", ["s", "label"])
+    r = me.ranking(f, ["step"], "label", "s", F.col("w")).where("positives > 0 AND positives < n")
     return rounded(r.select("step", "n", "positives", "average_precision", "auroc"), "average_precision", "auroc")
 
 
