@@ -7,6 +7,7 @@ metrics work on scores pre-aggregated by group; thresholded ones on confusion co
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +18,14 @@ def multiplicities(groups: DataFrame, group: str, replicates: int, seed: int = 0
     """(replicate_id, group, w) by a linear congruence of replicate and draw that any SQL engine can follow."""
     dense = groups.select(F.col(group).alias("group")).distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("group")) - 1)
     n = dense.agg(F.count("*").cast("long").alias("G"))
-    draws = groups.sparkSession.range(replicates).withColumnRenamed("id", "replicate_id").join(F.broadcast(n)).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("G") - 1)))
+    each = n.first()["G"]
+    draws = groups.sparkSession.range(replicates * each).select(F.floor(F.col("id") / max(each, 1)).alias("replicate_id"), F.pmod("id", F.lit(max(each, 1))).alias("d"), F.lit(each).alias("G"))
     x = F.pmod(F.col("replicate_id") * 1_000_003 + F.col("d") * 7_919 + seed * 104_729 + 12_345, F.lit(2_147_483_647))
     x = F.pmod(x * 48_271 + 11, F.lit(2_147_483_647))
     x = F.pmod(x * 69_621 + 7, F.lit(2_147_483_647))
     draws = draws.select("replicate_id", F.pmod(F.floor(x / 128).cast("long"), F.col("G")).alias("i"))
     w = draws.groupBy("replicate_id", "i").agg(F.count("*").alias("w"))
-    return w.join(F.broadcast(dense), "i").select("replicate_id", "group", "w")
+    return w.join(dense, "i").select("replicate_id", "group", "w")
 
 
 def numpy_multiplicities(spark: SparkSession, groups: list[str], replicates: int, seed: int, protocol: str = "integers") -> DataFrame:
@@ -39,6 +41,58 @@ def numpy_multiplicities(spark: SparkSession, groups: list[str], replicates: int
     return spark.createDataFrame(rows, "replicate_id long, group string, w long")
 
 
+#: Replicates whose weights meet in one task, and weights of rows that it holds at once.
+CHUNK, HELD = 250, 2_000_000
+
+
+def replicate_metrics_matrix(rows: DataFrame, draws: DataFrame, group: str, keys: list[str], label: str, score: str) -> DataFrame:
+    """replicate_metrics by matrices: a task takes a key's counts by group, score and label and the weights of CHUNK replicates. For evaluation
+    sets whose counts of one key fit in a task (some million); any other goes through replicate_metrics."""
+    folded = rows.groupBy(F.col(group).alias("group"), *keys, F.col(score).cast("double").alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.count("*").alias("n"))
+    parts = draws.select(F.floor(F.col("replicate_id") / CHUNK).alias("part")).distinct()
+    left = folded.join(parts)
+    right = draws.withColumn("part", F.floor(F.col("replicate_id") / CHUNK)).join(folded.select(*keys).distinct())
+    kinds = {f.name: f.dataType.simpleString() for f in folded.schema}
+    names = [*keys, "replicate_id", "average_precision", "auroc", "brier", "n", "positives"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", replicate_id long, average_precision double, auroc double, brier double, n long, positives long"
+
+    def one(key: tuple, counts: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        if not len(counts) or not len(weights):
+            return pd.DataFrame({c: [] for c in names})
+        counts = counts.sort_values(["score", "group"], ascending=[False, True], kind="stable")
+        where = {g: i for i, g in enumerate(sorted(set(counts["group"])))}
+        at = counts["group"].map(where).to_numpy()
+        s, pos, n = (counts[c].to_numpy(float) for c in ("score", "pos", "n"))
+        reps = np.array(sorted(set(weights["replicate_id"])))
+        w = np.zeros((len(reps), len(where)))
+        known = weights[weights["group"].isin(where)]
+        w[np.searchsorted(reps, known["replicate_id"].to_numpy()), known["group"].map(where).to_numpy(int)] = known["w"].to_numpy()
+        edge = np.flatnonzero(np.append(s[1:] != s[:-1], True))
+        first = np.concatenate([[0], edge[:-1] + 1])
+        out = []
+        step = max(1, HELD // len(s))
+        for a in range(0, len(reps), step):
+            each = w[a : a + step][:, at]
+            p, all_ = np.add.reduceat(each * pos, first, axis=1), np.add.reduceat(each * n, first, axis=1)
+            cp, ca = p.cumsum(1), all_.cumsum(1)
+            P, T = cp[:, -1], ca[:, -1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ap = np.nansum(p / P[:, None] * np.where(ca > 0, cp / ca, 0), axis=1)
+                auroc = ((all_ - p) * (cp - p / 2)).sum(1) / (P * (T - P))
+                brier = ((p * (s[edge] - 1) ** 2) + (all_ - p) * s[edge] ** 2).sum(1) / T
+            out.append(pd.DataFrame({"replicate_id": reps[a : a + step], "average_precision": ap, "auroc": auroc, "brier": brier, "n": T.astype(int), "positives": P.astype(int)}))
+        got = pd.concat(out)
+        got = got[got["n"] > 0]
+        for c, v in zip(keys, key, strict=False):
+            got[c] = v
+        return got[names]
+
+    left, right = (x.toDF(*x.columns) for x in (left, right))  # names of their own: both sides come from folded
+    got = left.groupBy(*keys, "part").cogroup(right.groupBy(*keys, "part")).applyInPandas(one, schema)
+    valid = (F.col("positives") > 0) & (F.col("positives") < F.col("n"))
+    return got.select("replicate_id", *keys, *[F.when(valid, F.col(m)).alias(m) for m in ("average_precision", "auroc", "brier")], valid.alias("valid"), "n", "positives")
+
+
 def replicate_metrics(rows: DataFrame, draws: DataFrame, group: str, keys: list[str], label: str, score: str) -> DataFrame:
     """Ranking metrics of each (replicate, key); replicates with one class are kept with valid = false and null metrics."""
     folded = rows.groupBy(F.col(group).alias("group"), *keys, F.col(score).alias("score"), F.col(label).alias("y")).agg(F.count("*").alias("c"))

@@ -37,9 +37,18 @@ def pair_parts(key: Column) -> tuple[Column, Column]:
     return F.regexp_extract(ok, pattern, 2), F.regexp_extract(ok, pattern, 1)
 
 
+def stored(verification: Column | str) -> Column:
+    """The decisions (DECISIONS) in a verification's JSON text; other keys are left out."""
+    v = F.col(verification) if isinstance(verification, str) else verification
+    raw = F.map_filter(F.from_json(v, "map<string, string>"), lambda k, x: k.startswith("prompt_"))
+    one = DECISIONS.removeprefix("map<string, ").removesuffix(">")
+    return F.transform_values(raw, lambda k, x: F.from_json(x, one))
+
+
 def decisions(examples: DataFrame, column: str = "verification") -> DataFrame:
-    """One row for each stored decision of an example: example_id, label, model, prompt, predicted, decision."""
-    long = examples.select("example_id", "label", F.explode(F.map_filter(F.col(column), lambda k, v: k.startswith("prompt_"))).alias("key", "decision"))
+    """One row for each stored decision of an example: example_id, label, model, prompt, predicted, decision. column: DECISIONS, or JSON text."""
+    made = stored(column) if dict(examples.dtypes)[column] == "string" else F.col(column)
+    long = examples.select("example_id", "label", F.explode(F.map_filter(made, lambda k, v: k.startswith("prompt_"))).alias("key", "decision"))
     model, prompt = pair_parts(F.col("key"))
     return long.select("example_id", "label", model.alias("model"), prompt.alias("prompt"), F.col("decision.alucinacao").alias("predicted"), "decision")
 

@@ -102,6 +102,23 @@ def correlations(df: DataFrame, signals: list[str], target: str) -> DataFrame:
     return got.where("n >= 3 AND sv > 0 AND st > 0").drop("sv", "st")
 
 
+def error_model(df: DataFrame, target: str, features: list[str], ridge: float = 1e-3) -> DataFrame:
+    """Logistic regression of a 0/1 target on standardised features, rows with a null left out: feature, coefficient; the intercept, too. Needs three
+    rows and both classes, else no row."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    rows = df.select(F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    spark, schema = df.sparkSession, "feature string, coefficient double"
+    n = rows.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
+    if n["n"] < 3 or n["p"] in (0, n["n"]):
+        return spark.createDataFrame([], schema)
+    raw = VectorAssembler(inputCols=features, outputCol="raw").transform(rows)
+    x = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(raw).transform(raw)
+    m = LogisticRegression(featuresCol="x", regParam=ridge, maxIter=100, tol=1e-10, standardization=False).fit(x)
+    return spark.createDataFrame([*zip(features, m.coefficients.toArray().tolist(), strict=True), ("intercept", float(m.intercept))], schema)
+
+
 def order_breaks(rows: DataFrame, source: str, output: str, size: int = 100_000) -> DataFrame:
     """n and out_of_order: rows whose source position is not above that of the row before them by output position. Neighbours meet
     inside ranges of output positions; the last row of a range is carried over to the next range that has rows."""

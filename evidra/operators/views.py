@@ -57,6 +57,48 @@ def stratified_sample(df: DataFrame, strata: list[str], id_col: str, k: int, see
     return df.withColumn("__h", h).withColumn("stratum_rank", r).orderBy((F.col("stratum_rank") > 1).cast("int"), "__h", id_col).limit(k).drop("__h")
 
 
+def round_robin_sample(df: DataFrame, strata: list[str], id_col: str, k: int, seed: int = 0) -> DataFrame:
+    """k rows, one of each stratum in turn, strata in order, rows of a stratum in hashed order; used-up strata are passed over."""
+    h = bucket(id_col, 1_000_003, seed)
+    r = F.row_number().over(Window.partitionBy(*strata).orderBy(h, id_col))
+    return df.withColumn("stratum_rank", r).where(F.col("stratum_rank") <= k).orderBy("stratum_rank", *strata).limit(k)
+
+
+def stratified_group_split(groups: DataFrame, group: str, strata: list[str], fraction: float, fallback: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """(group, partition) of one row a group: of each stratum the share fraction, rounded, in hashed order, is for validation. If a stratum has
+    fewer than two groups, fallback (a part of strata) is used for all. Groups are integers, or what bucket takes."""
+    least = groups.groupBy(*strata).agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).first()["n"]
+    by = strata if least is None or least >= 2 or fallback is None else fallback
+    w = Window.partitionBy(*by)
+    h = bucket(group, 1_000_003, seed)
+    r, n = F.row_number().over(w.orderBy(h, group)), F.count("*").over(w)
+    return groups.select(group, *strata, F.when(r <= F.round(n * F.lit(fraction)), "validation").otherwise("train").alias("partition"))
+
+
+def nested_folds(df: DataFrame, group: str, label: str, outer: int = 5, inner: int = 5, seed: int = 0) -> DataFrame:
+    """(outer, group, role, inner): for each outer fold its groups as test and all others with an inner fold of their own, both even in
+    positives and size. Works on group totals."""
+    folds = k_folds(df, group, label, outer, seed)
+    each = folds.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
+    test = each.where(F.col("fold") == F.col("outer")).select("outer", "group", F.lit("test").alias("role"), F.lit(-1).alias("inner"), "n", "p")
+    i = F.row_number().over(Window.partitionBy("outer").orderBy(F.desc("p"), F.desc("n"), F.xxhash64(F.col("group").cast("string"), F.lit(seed + 1)), "group")) - 1
+    train = each.where(F.col("fold") != F.col("outer")).select("outer", "group", F.lit("train").alias("role"), _snake(i, inner).alias("inner"), "n", "p")
+    return test.unionAll(train)
+
+
+def _snake(i: Column, k: int) -> Column:
+    """0, 1, ... k - 1, k - 1, ... 1, 0, 0, 1, ..."""
+    at = F.pmod(i, F.lit(k))
+    return F.when(F.pmod(F.floor(i / k), F.lit(2)) == 0, at).otherwise(k - 1 - at).cast("int")
+
+
+def context(text: Column | str, start: Column | str, end: Column | str, width: int = 180) -> Column:
+    """The text from width characters before start to width after end."""
+    text, start, end = (F.col(x) if isinstance(x, str) else x for x in (text, start, end))
+    low = F.greatest(F.lit(0), start - width)
+    return F.substring(text, low + 1, end + width - low)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
@@ -79,6 +121,4 @@ def k_folds(df: DataFrame, group: str, label: str, k: int = 5, seed: int = 0) ->
     """(group, fold): groups in snake order of positives and size, so that folds are even in both."""
     stats = df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("p"), F.desc("n"), F.xxhash64(F.col("group").cast("string"), F.lit(seed)), "group")
-    i = F.row_number().over(order) - 1
-    lap, at = F.floor(i / k), F.pmod(i, F.lit(k))
-    return stats.select("group", F.when(F.pmod(lap, F.lit(2)) == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"), "n", "p")
+    return stats.select("group", _snake(F.row_number().over(order) - 1, k).alias("fold"), "n", "p")

@@ -60,13 +60,15 @@ def boundary_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g, "mean_fraction", "median_fraction")
 
 
-@query("""SELECT text_sha256, n, CASE WHEN n_sources = 1 AND n_langs = 1 THEN 'same_source' WHEN n_langs > 1 THEN 'cross_language' ELSE 'cross_source' END AS diagnosis, snippet
-          FROM (SELECT sha256(text) AS text_sha256, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_langs, substring(text, 1, 180) AS snippet FROM documents GROUP BY text HAVING count(*) > 1)""")
+@query("""SELECT claim_sha256, n, CASE WHEN n_sources = 1 AND n_langs = 1 THEN 'same_source' WHEN n_langs > 1 THEN 'cross_language' ELSE 'cross_source' END AS diagnosis, context
+          FROM (SELECT sha256(substring(text, 201, 100)) AS claim_sha256, count(*) AS n, count(DISTINCT source) AS n_sources, count(DISTINCT lang) AS n_langs, arg_min(substring(text, 21, 460), doc_id) AS context FROM documents WHERE length(text) >= 300 GROUP BY 1 HAVING count(*) > 1)""")
 def conflict_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_sha256"), "source", "lang", F.substring("text", 1, 180).alias("snippet"))
-    g = d.groupBy("text_sha256").agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"), F.countDistinct("lang").alias("l"), F.first("snippet").alias("snippet")).where("n > 1")
+    """Claims (characters 200 to 300) that several documents have, with what stands around the first one's."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 300)
+    d = d.select("doc_id", F.sha2(F.substring("text", 201, 100), 256).alias("claim_sha256"), "source", "lang", vw.context("text", F.lit(200), F.lit(300)).alias("context"))
+    g = d.groupBy("claim_sha256").agg(F.count("*").alias("n"), F.countDistinct("source").alias("s"), F.countDistinct("lang").alias("l"), F.min_by("context", "doc_id").alias("context")).where("n > 1")
     why = F.when((F.col("s") == 1) & (F.col("l") == 1), "same_source").when(F.col("l") > 1, "cross_language").otherwise("cross_source")
-    return g.select("text_sha256", "n", why.alias("diagnosis"), "snippet")
+    return g.select("claim_sha256", "n", why.alias("diagnosis"), "context")
 
 
 @query("""SELECT doc_id FROM documents ORDER BY (floor(((doc_id * 48271 + 11) % 2147483647) / 7.0)::BIGINT) % 1000003, doc_id LIMIT 100""")

@@ -24,7 +24,8 @@ from evidra.sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-REPLICATES = 20
+#: Replicates of the bootstrap queries.
+REPLICATES = 1000
 
 
 def query(sql: str | None = None) -> Callable:
@@ -381,7 +382,7 @@ _REPS = f"""{_CUBE}, {_DRAWS}, jn AS (SELECT replicate_id, condition, seed, labe
 _LONG = f"""{_REPS}, ml AS (SELECT replicate_id, condition, seed, 'average_precision' AS metric, average_precision AS value FROM rv UNION ALL SELECT replicate_id, condition, seed, 'auroc', auroc FROM rv UNION ALL SELECT replicate_id, condition, seed, 'brier', brier FROM rv),
     mm AS (SELECT replicate_id, condition, metric, avg(value) AS value FROM ml GROUP BY 1, 2, 3)"""
 PAIRS = {"tuned_vs_base": ("base", "tuned"), "set_vs_pool": ("pool", "set")}
-_DELTAS = f"""{_LONG}, dl AS ({' UNION ALL '.join(f"SELECT a.replicate_id, a.metric, '{k}' AS contrast, b.value - a.value AS delta FROM mm a JOIN mm b ON a.replicate_id = b.replicate_id AND a.metric = b.metric WHERE a.condition = '{x}' AND b.condition = '{y}'" for k, (x, y) in PAIRS.items())})"""
+_DELTAS = f"""{_LONG}, dl AS ({' UNION ALL '.join(f"SELECT a.replicate_id, a.metric, '{k}' AS contrast, round(b.value - a.value, 12) AS delta FROM mm a JOIN mm b ON a.replicate_id = b.replicate_id AND a.metric = b.metric WHERE a.condition = '{x}' AND b.condition = '{y}'" for k, (x, y) in PAIRS.items())})"""
 
 
 def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,13 +390,13 @@ def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bs.replicate_metrics(cube(spark, sf_dir), _draws(spark, sf_dir), "source", ["condition", "seed"], "label", "score")
+    return bs.replicate_metrics_matrix(cube(spark, sf_dir), _draws(spark, sf_dir), "source", ["condition", "seed"], "label", "score")
 
 
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = bs.melted(_replicates(spark, sf_dir).drop("valid", "n", "positives"), ["replicate_id", "condition", "seed"], ["average_precision", "auroc", "brier"])
     mean = long.groupBy("replicate_id", "condition", "metric").agg(F.avg("value").alias("value"))
-    return bs.contrasts(mean, ["replicate_id", "metric"], "condition", PAIRS)
+    return rounded(bs.contrasts(mean, ["replicate_id", "metric"], "condition", PAIRS), "delta", digits=12)
 
 
 @query(f"WITH {_SCORED}, {_DRAWS} SELECT replicate_id, grp AS \"group\", w FROM mu")
@@ -403,9 +404,9 @@ def bootstrap_multiplicities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _draws(spark, sf_dir)
 
 
-@query(f"WITH {_REPS} SELECT replicate_id, condition, CAST(seed AS INTEGER) AS seed, round(average_precision, 8) AS average_precision, round(auroc, 8) AS auroc, round(brier, 8) AS brier, n, positives FROM rv")
+@query(f"WITH {_REPS} SELECT replicate_id, condition, CAST(seed AS INTEGER) AS seed, round(average_precision, 12) AS average_precision, round(auroc, 12) AS auroc, round(brier, 12) AS brier, n, positives FROM rv")
 def bootstrap_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_replicates(spark, sf_dir).drop("valid"), "average_precision", "auroc", "brier")
+    return rounded(_replicates(spark, sf_dir).drop("valid"), "average_precision", "auroc", "brier", digits=12)
 
 
 @query(f"WITH {_DELTAS} SELECT replicate_id, metric, contrast, round(delta, 8) AS delta FROM dl")

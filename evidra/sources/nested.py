@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidra.functions.text import blank
 
@@ -38,6 +41,36 @@ def translated(hearings: DataFrame, translations: DataFrame, size: int = 4) -> D
     return mapped(joined, change).drop("__t")
 
 
+def translated_json(lines: DataFrame, translations: DataFrame, schema: str, column: str = "value", size: int = 4) -> DataFrame:
+    """JSON lines of hearings with the texts of valid opinions replaced by translations (source, target) and everything else, known to the
+    schema or not, as it is: only text leaves of the JSON change. A text without a translation is an error."""
+    parsed = lines.select(F.col(column).alias("__line"), F.from_json(column, schema).alias("__h"))
+    rows = parsed.withColumn("__k", F.sha2("__line", 256))
+    o = rows.select("__k", F.explode("__h.metadados_extraidos.envolvidos").alias("p")).select("__k", F.explode("p.opinioes").alias("o"))
+    texts = o.where(valid(F.col("o"), size)).select("__k", F.explode(F.concat(F.array("o.opiniao"), F.col("o.chunks_proximos"))).alias("source")).distinct()
+    known = translations.select("source", F.struct("target").alias("t"))
+    target = F.when(F.col("t").isNotNull(), F.col("t.target")).otherwise(F.raise_error(F.concat(F.lit("no translation of: "), F.col("source"))))
+    lookup = texts.join(known, "source", "left").groupBy("__k").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("source", target.alias("target"))))).alias("__t"))
+
+    @F.pandas_udf(T.StringType())
+    def rewritten(line: pd.Series, table: pd.Series) -> pd.Series:
+        return pd.Series([_rewritten(x, t, size) for x, t in zip(line, table, strict=True)])
+
+    return rows.join(lookup, "__k", "left").select(rewritten("__line", F.col("__t")).alias(column))
+
+
+def _rewritten(line: str | None, table: str | None, size: int) -> str | None:
+    if line is None or table is None:
+        return line
+    new, hearing = json.loads(table), json.loads(line)
+    for person in (hearing.get("metadados_extraidos") or {}).get("envolvidos") or []:
+        for x in person.get("opinioes") or []:
+            texts = [x.get("opiniao"), *(x.get("chunks_proximos") or [])]
+            if len(texts) == size + 1 and all(isinstance(t, str) and t.strip() for t in texts):
+                x["opiniao"], x["chunks_proximos"] = new[texts[0]], [new[t] for t in texts[1:]]
+    return json.dumps(hearing, ensure_ascii=False)
+
+
 def skeleton(hearings: DataFrame, size: int = 4) -> DataFrame:
     """(id, hash) of hearings without what a translation may change."""
 

@@ -11,10 +11,11 @@ from evidra.functions.text import blank
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: A hearing: nested people, and their opinions.
+#: A hearing: nested people, and their opinions. Verifications stay JSON text: beside the manual judgment they hold stored decisions under keys
+#: that name prompt and model.
 HEARING = (
     "id LONG, metadados_extraidos STRUCT<assunto: STRING, envolvidos: ARRAY<STRUCT<nome: STRING, cargo: STRING, opinioes: ARRAY<STRUCT<"
-    "opiniao: STRING, chunks_proximos: ARRAY<STRING>, verificacao_alucinacao: STRUCT<verificacao_manual: BOOLEAN>>>>>>"
+    "opiniao: STRING, chunks_proximos: ARRAY<STRING>, verificacao_alucinacao: STRING>>>>>"
 )
 
 
@@ -107,7 +108,8 @@ def opinions(hearings: DataFrame) -> DataFrame:
         "person_role",
         F.col("o.opiniao").alias("opinion"),
         F.coalesce("o.chunks_proximos", F.array().cast("array<string>")).alias("context_chunks"),
-        F.col("o.verificacao_alucinacao.verificacao_manual").alias("label"),
+        F.get_json_object("o.verificacao_alucinacao", "$.verificacao_manual").cast("boolean").alias("label"),
+        F.col("o.verificacao_alucinacao").alias("verification"),
     )
 
 

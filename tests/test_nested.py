@@ -26,7 +26,7 @@ def test_translation_changes_only_valid_texts(spark, hearings):
     known = spark.createDataFrame([(t, f"pt:{t}") for t in ("op", "a", "b", "c")], "source string, target string")
     got = nested.translated(hearings, known)
     o = [x.asDict(True) for x in got.first().metadados_extraidos.envolvidos[0].opinioes]
-    assert o[0]["opiniao"] == "pt:op" and o[0]["chunks_proximos"] == ["pt:a", "pt:b", "pt:a", "pt:c"] and o[1] == INVALID
+    assert o[0]["opiniao"] == "pt:op" and o[0]["chunks_proximos"] == ["pt:a", "pt:b", "pt:a", "pt:c"] and {**o[1], "verificacao_alucinacao": json.loads(o[1]["verificacao_alucinacao"])} == INVALID
     assert nested.structure_mismatches(hearings, got).count() == 0
     broken = nested.mapped(got, lambda x: x.withField("chunks_proximos", F.slice(x["chunks_proximos"], 1, 1)))
     assert nested.structure_mismatches(hearings, broken).count() == 3
@@ -34,6 +34,23 @@ def test_translation_changes_only_valid_texts(spark, hearings):
         nested.translated(hearings, known.where("source <> 'b'")).collect()
 
 
+def test_rewriting_loses_nothing(spark):
+    """Fields that no schema names, at every level, come through; decisions are read from the same lines."""
+    decision = {"alucinacao": True, "explicacao": "because", "trechos_para_basear_analise": ["t"]}
+    verified = {"verificacao_manual": False, "prompt_2_m-a": decision, "prompt_1_m-b": {"alucinacao": False, "explicacao": "no"}, "note": [1, None]}
+    whole = {"id": 7, "extra": {"k": [1.5, "é"]}, "metadados_extraidos": {"assunto": "s", "data": "d", "envolvidos": [{"nome": "n", "partido": "p", "opinioes": [VALID | {"verificacao_alucinacao": verified, "tom": "x"}, INVALID]}]}}
+    lines = spark.createDataFrame([(json.dumps(whole, ensure_ascii=False),), ('{"id": 8}',), (None,)], "value string")
+    known = spark.createDataFrame([(t, f"pt:{t}") for t in ("op", "a", "b", "c")], "source string, target string")
+    got = [r.value for r in nested.translated_json(lines, known, rd.HEARING).collect()]
+    want = json.loads(json.dumps(whole))
+    want["metadados_extraidos"]["envolvidos"][0]["opinioes"][0] |= {"opiniao": "pt:op", "chunks_proximos": ["pt:a", "pt:b", "pt:a", "pt:c"]}
+    assert sorted((json.loads(x) for x in got if x), key=lambda x: x["id"]) == [want, {"id": 8}] and None in got
+    o = rd.opinions(lines.where("value IS NOT NULL").select(F.from_json("value", rd.HEARING).alias("h")).select("h.*"))
+    assert [(r.sample_id, r.label) for r in o.collect()] == [("7:0:0", False), ("7:0:1", False)]
+    made = {(r.model, r.prompt): (r.predicted, r.decision.explicacao) for r in pr.decisions(o.withColumnRenamed("sample_id", "example_id")).collect()}
+    assert made == {("m-a", "prompt_2"): (True, "because"), ("m-b", "prompt_1"): (False, "no")}
+
+
 def test_mask_audit(spark):
     cols = "id int, m array<boolean>, c1 string, c2 string"
     a = spark.createDataFrame([(1, [True, False], "x", "")], cols)
