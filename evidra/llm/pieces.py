@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import compress
+from collections.abc import Iterator
+from itertools import compress, groupby
 
 import ahocorasick
 import numpy as np
@@ -27,8 +27,6 @@ from evidra.llm.common import ship, text_slices
 SPACE = "▁"
 #: Entries of each of the two generations of a worker's word cache.
 CACHE = 300_000
-#: Convergence of back-pointers is looked for every so many characters.
-COMMIT_EVERY = 64
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -47,6 +45,8 @@ class Pieces:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.names) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.ids))
+        #: Boundaries of a window, after which paths are looked at for where they meet.
+        self.span = 4 * self.longest
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.names)]
@@ -82,78 +82,55 @@ class Pieces:
             got = self.allowed[a << 32 | b] = self.merged(list(x + y)) == [x, y]
         return got
 
-    def committed(self, text: str) -> Iterator[list[str]]:
-        """The pieces of a marked text, in runs, each as soon as it is certain. A character without a piece stands for itself."""
-        # the last piece, its id (-1: no piece before) of the best path to each boundary in the window
-        last: dict[int, tuple[str, int]] = {0: ("", -1)}
-        done, n = 0, len(text)
-        found = self.auto.iter(text)
-        ahead = next(found, None)
-        for i in range(1, n + 1):
-            while ahead is not None and ahead[0] == i - 1:
-                size, p = ahead[1]
-                ahead = next(found, None)
-                before = last.get(i - size)
-                if i not in last and before is not None and (before[1] < 0 or self.neighbours(before[1], p)):
-                    last[i] = (self.names[p], p)
-            if i not in last and text[i - 1] not in self.chars and i - 1 in last:
-                last[i] = (text[i - 1], -1)  # nothing merges with it
-            if i % COMMIT_EVERY == 0 or i == n:
-                # walk all paths that end in the window back to where they meet
-                live = {j for j in range(max(done, i - self.longest + 1), i + 1) if j in last} if i < n else {n}
+    def committed(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text of known characters, in runs, each as soon as it is certain."""
+        names, allowed, neighbours = self.names, self.allowed.get, self.neighbours
+        span, n, base = self.span, len(text), 0
+        # the last piece of the best path to each boundary of the window: -1 no piece before, -2 no path
+        last = [-1] + [-2] * min(n, span)
+        for end, (size, p) in self.auto.iter(text):
+            at = end + 1 - base
+            if at >= len(last):
+                # walk all paths that end in the reach of a piece back to where they meet
+                live = {j for j in range(max(0, at - self.longest), len(last)) if last[j] != -2}
                 while len(live) > 1:
                     j = max(live)
                     live.discard(j)
-                    live.add(j - len(last[j][0]))
+                    live.add(j - len(names[last[j]]))
                 meet = live.pop()
-                if meet > done:
-                    run, j = [], meet
-                    while j > done:
-                        run.append(last[j][0])
-                        j -= len(last[j][0])
-                    yield run[::-1]
-                    for j in [j for j in last if j < meet]:
-                        del last[j]
-                    done = meet
-
-    def _word(self, text: str) -> bytes:
-        """committed() for a short text of known characters, whose window is the whole text."""
-        n = len(text)
-        last = [-2] * (n + 1)
-        last[0] = -1
-        allowed, neighbours = self.allowed.get, self.neighbours
-        for end, (size, p) in self.auto.iter(text):
-            if last[end + 1] == -2:
-                before = last[end + 1 - size]
+                if meet:
+                    yield self._back(last, meet)
+                    base += meet
+                    at -= meet
+                    last[: meet + 1] = [-1]
+                last += [-2] * (min(n - base, max(span, at)) + 1 - len(last))
+            if last[at] == -2 and at >= size:
+                before = last[at - size]
                 if before >= 0:
                     ok = allowed(before << 32 | p)
                     if ok or (ok is None and neighbours(before, p)):
-                        last[end + 1] = p
+                        last[at] = p
                 elif before == -1:
-                    last[end + 1] = p
-        out = []
-        while n:
-            p = last[n]
-            out.append(p)
-            n -= len(self.names[p])
-        return np.array(out[::-1], self.dtype).tobytes()
-
-    def _ids(self, run: Iterable[str]) -> list[int]:
-        out: list[int] = []
-        for p in run:
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in p.encode())
-            else:
-                out.append(self.unknown)
-        return out
+                    last[at] = p
+        yield self._back(last, n - base)
+
+    def _back(self, last: list[int], at: int) -> list[int]:
+        run = []
+        while at:
+            run.append(last[at])
+            at -= len(self.names[last[at]])
+        return run[::-1]
 
     def _stream(self, marked: str) -> bytes:
-        if len(marked) <= COMMIT_EVERY and self.chars.issuperset(marked):
-            return self._word(marked)
-        return b"".join(np.array(self._ids(run), self.dtype).tobytes() for run in self.committed(marked))
+        """Ids of a marked text. A character without a piece merges with nothing: what stands between such is searched on its own."""
+        if self.chars.issuperset(marked):
+            runs = self.committed(marked)
+        else:
+            runs = (r for known, part in groupby(marked, self.chars.__contains__) for r in (self.committed("".join(part)) if known else map(self._unknown, part)))
+        return b"".join(np.array(run, self.dtype).tobytes() for run in runs)
+
+    def _unknown(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
     def encode(self, text: str) -> bytes:
         """Ids, little-endian, of a text. An empty text has none."""

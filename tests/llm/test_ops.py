@@ -203,6 +203,18 @@ def test_pieces_equal_library():
         assert ours.decode(ids).decode() == t.replace("▁", " ")
 
 
+def test_long_words_equal_library():
+    """Words far longer than the window, with characters that no piece covers."""
+    import sentencepiece
+
+    ours, theirs = pieces.load(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(4)
+    parts = ["a", "er", "ing", "the", "B", "é", "ß", "日", "𝄞", "1", "xx", "-", "tion"]
+    for n in (70, 300, 2000, 9000):
+        t = "".join(rng.choice(parts) for _ in range(n))
+        assert np.frombuffer(ours.encode(t), ours.dtype).tolist() == theirs.encode(t)
+
+
 def test_commits_early():
     runs = list(pieces.load(MODEL).committed("▁" + "thequickbrownfox" * 400))
     assert len(runs) > 50 and max(map(len, runs)) < 100
