@@ -13,7 +13,9 @@ consecutive documents in ascending id order:
 
 Elias-Fano of n non-decreasing values below u: n low parts of l = floor(log2(u/n)) bits, packed, and the high parts in
 unary as a bit vector of n + u/2^l bits at most; 2 + log2(u/n) bits a value. select(i) finds the i-th set bit with one
-sampled directory entry per 512 ones and popcounts from there.
+sampled directory entry per 512 ones (a 32-bit byte number and a rest) and popcounts from there; readers take all offsets from it.
+
+Added tokens of the tokenizer are found in the text, as its plain call with add_special_tokens=False does.
 """
 
 from __future__ import annotations
@@ -46,10 +48,18 @@ class EliasFano:
 
     def __init__(self, n: int, l: int, low: bytes, high: bytes) -> None:
         self.n, self.l, self._low, self._high = n, l, low, np.frombuffer(high, np.uint8)
-        self._ones = np.zeros(len(self._high) + 1, np.int64)
-        np.cumsum(np.bitwise_count(self._high), out=self._ones[1:])
-        # the byte that holds each 512th one
-        self._directory = np.searchsorted(self._ones, np.arange(0, n, _SAMPLE), "right") - 1
+        # for each 512th one the byte that holds it, and how many ones stand before it in that byte
+        count = -(-n // _SAMPLE)
+        self._byte, self._rest = np.zeros(count, np.uint32), np.zeros(count, np.uint8)
+        seen = done = 0
+        for at in range(0, len(self._high), 1 << 16):
+            upto = np.cumsum(np.bitwise_count(self._high[at : at + (1 << 16)]), dtype=np.uint32)
+            stop = min(count, -(-(seen + int(upto[-1])) // _SAMPLE))
+            want = np.arange(done, stop) * _SAMPLE - seen
+            k = np.searchsorted(upto, want, "right")
+            self._byte[done:stop] = at + k
+            self._rest[done:stop] = want - np.where(k > 0, upto[k - 1], 0)
+            seen, done = seen + int(upto[-1]), max(done, stop)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -71,11 +81,15 @@ class EliasFano:
         return cls(n, l, raw[17 : 17 + k], raw[17 + k :])
 
     def select(self, i: int) -> int:
-        """The i-th value."""
-        byte = int(self._directory[i // _SAMPLE])
-        while self._ones[byte + 1] <= i:
-            byte += 1
-        left = i - int(self._ones[byte])
+        """The i-th value: from the directory's byte on, popcounts up to the byte of the i-th one."""
+        k = i // _SAMPLE
+        byte = int(self._byte[k])
+        left = i - k * _SAMPLE + int(self._rest[k])
+        end = int(self._byte[k + 1]) + 1 if k + 1 < len(self._byte) else len(self._high)
+        upto = np.cumsum(np.bitwise_count(self._high[byte:end]), dtype=np.uint32)
+        skip = int(np.searchsorted(upto, left, "right"))
+        left -= int(upto[skip - 1]) if skip else 0
+        byte += skip
         x = int(self._high[byte])
         for _ in range(left):
             x &= x - 1
@@ -292,7 +306,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = batch.slice(k, 1).to_pylist()[0]
             bounds = EliasFano.from_bytes(r["bounds"])
             ids = np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * r["n_ids"] else "<u4").astype("<u4")
-            ends = bounds.all()
+            ends = np.array([bounds.select(i) for i in range(bounds.n)], np.int64)
             starts = np.concatenate([[0], ends[:-1]])
             doc_ids = [None] * r["n_null"] + (EliasFano.from_bytes(r["doc_ids"]).all() + r["low_id"]).tolist()
             raw = memoryview(ids.tobytes())
