@@ -239,7 +239,7 @@ def local_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node.low = _lower(node.low, (ids[i], rows[i], len(held), i))
         held.append(batch)
         room += batch.nbytes
-        if room > 2 * SPILL_BYTES:
+        if room > SPILL_BYTES:
             yield from flush()
     yield from flush()
 
