@@ -17,6 +17,8 @@ from evidra.functions.scalars import _c
 _SPACE = r"[\s\x1c-\x1f]"
 _PIECE = r"(?sU).+?(?:(?<=[.!?])[\"'”’\])]*" + _SPACE + r"+(?=[A-Z0-9\"'“‘\[(])|\z)"
 _EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+#: The characters that _SPACE stands for.
+_WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # Fixed value: the mark before a passage, with its number.
 _MARK = r"(?i)(?:^|\n\s*)passage\s+(\d+)\s*:\s*"
 # Patterns of the surface features, in English and Portuguese.
@@ -158,22 +160,27 @@ def _starts(n: Column) -> Column:
     return let(before, lambda k: F.transform(F.sequence(F.lit(0), F.size(n) - 1), start(k)))
 
 
-def sentences(x: Column | str) -> Column:
-    """Half-open character ranges (start, end) of sentences, trimmed; the whole text if there is no end inside; none for a blank one."""
+def sentence_texts(x: Column | str) -> Column:
+    """(start, end, text) of sentences: half-open character ranges, trimmed; the whole text if there is no end inside; none for a blank one."""
     t = F.coalesce(_c(x), F.lit(""))
 
     def ranges(p: Column) -> Column:
-        def at(s: Column) -> Column:
-            lead = lambda piece: F.length(piece) - F.length(F.regexp_replace(piece, rf"(?U)^{_SPACE}+", ""))
-            all_ = F.zip_with(p, s, lambda piece, a: F.struct((a + lead(piece)).alias("start"), (a + lead(piece) + F.length(_trimmed(piece))).alias("end")))
-            return F.filter(all_, lambda r: r["end"] > r["start"])
+        def one(piece: Column, a: Column) -> Column:
+            lead = F.length(piece) - F.length(F.ltrim(piece, F.lit(_WHITE)))
+            body = F.btrim(piece, F.lit(_WHITE))
+            return F.struct((a + lead).alias("start"), (a + lead + F.length(body)).alias("end"), body.alias("text"))
 
-        return let(F.transform(p, F.length), lambda n: let(_starts(n), at))
+        return let(F.transform(p, F.length), lambda n: let(_starts(n), lambda s: F.filter(F.zip_with(p, s, one), lambda r: r["end"] > r["start"])))
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
     return F.when(blank(t), none).otherwise(let(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), ranges))
 
 
+def sentences(x: Column | str) -> Column:
+    """(start, end) of sentence_texts."""
+    return F.transform(sentence_texts(x), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+
+
 def joined_ranges(ranges: Column, spans: Column) -> Column:
     """Ranges of which a span (start, end) touches several become one: neighbours always, so a sweep is enough."""
 
@@ -194,7 +201,7 @@ def sentence_windows(x: Column | str, size: int = 3, stride: int = 2) -> Column:
         last = F.greatest(F.lit(0), F.ceil((F.size(s) - size) / stride)).cast("int")
         return F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(s, i * stride + 1, F.lit(size)), " ")))
 
-    return let(F.transform(sentences(t), lambda r: t.substr(r["start"] + 1, r["end"] - r["start"])), windows)
+    return let(F.transform(sentence_texts(t), lambda r: r["text"]), windows)
 
 
 def flatten_value(value: object, prefix: str = "") -> list[str]:

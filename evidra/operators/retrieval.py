@@ -81,8 +81,8 @@ def span_overlaps(claims: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 
 def sentence_claims(df: DataFrame, id_col: str, text_col: str, min_words: int = 3) -> DataFrame:
     """A row for each sentence with at least min_words words: claim_index counts all sentences, so indices may skip."""
-    s = df.select(F.col(id_col), F.col(text_col).alias("__x"), F.posexplode(tx.sentences(text_col)).alias("claim_index", "r"))
-    s = s.select(id_col, "claim_index", F.col("r.start").alias("claim_start"), F.col("r.end").alias("claim_end"), F.col("__x").substr(F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("claim"))
+    s = df.select(F.col(id_col), F.posexplode(tx.sentence_texts(text_col)).alias("claim_index", "r"))
+    s = s.select(id_col, "claim_index", F.col("r.start").alias("claim_start"), F.col("r.end").alias("claim_end"), F.col("r.text").alias("claim"))
     return s.where(tx.word_count("claim") >= min_words).withColumn("example_id", F.concat_ws(":", F.col(id_col).cast("string"), "claim_start", "claim_end"))
 
 
