@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidra.llm import decontam, exact_dedup, html_text, language, near_dedup, passages, pieces, quality, token_counts, token_files
+from evidra.llm import click_dedup, decontam, exact_dedup, html_text, language, near_dedup, passages, pieces, quality, token_counts, token_files
 
-MODULES = (token_counts, language, passages, pieces, html_text, exact_dedup, quality, decontam, token_files, near_dedup)
+MODULES = (token_counts, language, passages, pieces, html_text, exact_dedup, quality, decontam, token_files, near_dedup, click_dedup)
 
 
 def queries() -> dict:
