@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidra.llm import click_dedup, decontam, exact_dedup, html_text, language, lexical, near_dedup, passages, pieces, quality, token_counts, token_files
+from evidra.llm import click_dedup, decontam, exact_dedup, html_text, language, lexical, near_dedup, passages, personal, pieces, quality, token_counts, token_files
 
-MODULES = (token_counts, language, passages, pieces, html_text, exact_dedup, quality, decontam, token_files, near_dedup, click_dedup, lexical)
+MODULES = (token_counts, language, passages, pieces, html_text, exact_dedup, quality, decontam, token_files, near_dedup, click_dedup, personal, lexical)
 
 
 def queries() -> dict:
