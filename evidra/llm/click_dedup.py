@@ -2,6 +2,8 @@
 
 An event id belongs to one of many buckets by a hash. A bucket keeps two maps: windows (id -> its open window) and wheel (deadline hour -> ids), a timing
 wheel. One event-time timer a bucket stands at its earliest slot; when it fires, all slots behind the watermark are drained and the timer is set to the next.
+The watermark moves between batches, so timers fire while the batch after it is read, and what they close belongs to the batch before; a bucket that
+gets rows in that batch drains its slots first.
 
 A window opens with an event and takes every later event of its id up to SPAN hours past its start as a repeat, also one of an earlier hour; any other
 event closes it and opens the next. The watermark trails the latest hour by LATE hours and a half: hours are whole, so an event is dropped exactly if its
@@ -30,19 +32,23 @@ SPAN, LATE, BATCHES, ROWS = 24, 96, 8, 4096
 HOUR_MS = 3_600_000
 WINDOW = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
 _FED = "click_id long, hour long, hash binary, n long, batch int"
-#: Of the streaming session: state that Spark keeps in RocksDB, its changes written as a log; rows of an Arrow batch.
+#: Of the streaming session: state that Spark keeps in RocksDB, its changes written as a log, nothing left open on an executor; one
+#: micro-batch a start; rows of an Arrow batch.
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
 
 class ExpiringWindows(StatefulProcessor):
-    """Closed windows of a bucket. Rows have click_id, hour, hash, n (equal copies); rows with a null id only move the watermark."""
+    """Closed windows of a bucket. Rows have click_id, hour, hash, n (equal copies); rows with a null id only move the watermark. batch is the number of the
+    batch that is read, previous that of the last one before it that had rows: windows that the watermark has closed carry it."""
 
-    def __init__(self, batch: int, span: int = SPAN, late: int = LATE) -> None:
-        self.batch, self.span, self.late = batch, span, late
+    def __init__(self, batch: int, previous: int, span: int = SPAN, late: int = LATE) -> None:
+        self.batch, self.previous, self.span, self.late = batch, previous, span, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -50,11 +56,14 @@ class ExpiringWindows(StatefulProcessor):
         self.wheel = handle.getMapState("wheel", "deadline long", "ids array<long>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        events = sorted((r.click_id, r.hour, bytes(r.hash), r.n) for r in rows if r.click_id is not None)
+        now = timerValues.getCurrentWatermarkInMs()
+        events = sorted((r.click_id, r.hour, bytes(r.hash), r.n) for r in rows if r.click_id is not None and r.hour * HOUR_MS > now)
         if not events:
             return
         before = {k[0]: v for k, v in self.windows.iterator()}
         held: dict[int, tuple] = dict(before)
+        for click in [c for c, w in held.items() if (w[0] + self.span) * HOUR_MS < now]:
+            yield self._closed(click, held.pop(click), self.previous)
         for click, hour, digest, n in events:
             w = held.get(click)
             if w is not None and hour <= w[0] + self.span:
@@ -62,11 +71,11 @@ class ExpiringWindows(StatefulProcessor):
                 held[click] = (w[0], w[1], w[2] + n, w[3] + other, w[4] + other * (zlib.crc32(digest.hex().encode()) if other else 0))
             else:
                 if w is not None:
-                    yield self._closed(click, w)
+                    yield self._closed(click, w, self.batch)
                 held[click] = (hour, digest, n - 1, 0, 0)
         certain = max(e[1] for e in events) - self.late - self.span
         for click in [c for c, w in held.items() if w[0] < certain]:
-            yield self._closed(click, held.pop(click))
+            yield self._closed(click, held.pop(click), self.batch)
         self._keep(before, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -76,14 +85,14 @@ class ExpiringWindows(StatefulProcessor):
         before = {k[0]: v for k, v in self.windows.iterator()}
         held = dict(before)
         for click in (c for d in due for c in slots[d]):
-            yield self._closed(click, held.pop(click))
+            yield self._closed(click, held.pop(click), self.previous)
         self._keep(before, held)
 
     def close(self) -> None:
         pass
 
-    def _closed(self, click: int, w: tuple) -> Row:
-        return Row(click_id=click, start_hour=w[0], closed_batch=self.batch, n_repeats=w[2], n_conflicts=w[3], conflict_crc=w[4], hash=bytes(w[1]).hex())
+    def _closed(self, click: int, w: tuple, batch: int) -> Row:
+        return Row(click_id=click, start_hour=w[0], closed_batch=batch, n_repeats=w[2], n_conflicts=w[3], conflict_crc=w[4], hash=bytes(w[1]).hex())
 
     def _keep(self, before: dict[int, tuple], held: dict[int, tuple]) -> None:
         """Write what has changed: windows, slots of the wheel, the one timer. A map that loses most of its entries is cleared and written anew."""
@@ -118,18 +127,19 @@ class ExpiringWindows(StatefulProcessor):
             self.handle.registerTimer(t)
 
 
-def closed_windows(events: DataFrame, batch: int, buckets: int, span: int = SPAN, late: int = LATE) -> DataFrame:
-    """The streaming frame of windows (WINDOW) that close while the streaming frame events (click_id, hour, hash, n) is read; batch marks them."""
+def closed_windows(events: DataFrame, batch: int, previous: int, buckets: int, span: int = SPAN, late: int = LATE) -> DataFrame:
+    """The streaming frame of windows (WINDOW) that close while the streaming frame events (click_id, hour, hash, n) is read; batch and previous mark them."""
     ship(events.sparkSession)
     rows = events.select(
         F.pmod(F.xxhash64("click_id"), F.lit(buckets)).alias("bucket"), F.timestamp_seconds(F.col("hour") * 3600).alias("at"), "click_id", "hour", "hash", "n"
     ).withWatermark("at", f"{late * 60 + 30} minutes")
-    return rows.groupBy("bucket").transformWithState(ExpiringWindows(batch, span, late), WINDOW, "Append", "EventTime")
+    return rows.groupBy("bucket").transformWithState(ExpiringWindows(batch, previous, span, late), WINDOW, "Append", "EventTime")
 
 
 def run_batches(spark: SparkSession, events: DataFrame, batches: int, buckets: int, span: int = SPAN, late: int = LATE) -> DataFrame:
     """The closed windows of events (click_id, hour, hash, n, batch), fed batch by batch to a query that is started anew for each on one checkpoint, all in a
-    new folder under spark.checkpoint.dir. What is open after the last batch closes in it: its feed ends with a mark far ahead that lets all timers fire.
+    new folder under spark.checkpoint.dir. What is open after the last batch closes in it: its feed ends with a mark far ahead, and one more start with
+    another mark lets all timers fire.
 
     A batch without rows closes nothing. Events of a null id are not read. A lost executor costs its tasks, a failed start can be repeated: the sink
     and the checkpoint agree on what is done. An empty table has no windows.
@@ -142,26 +152,30 @@ def run_batches(spark: SparkSession, events: DataFrame, batches: int, buckets: i
     if last is None:
         return spark.createDataFrame([], WINDOW)
     mark = spark.range(1).select(F.lit(None).cast("long").alias("click_id"), F.lit(last + 2 * (span + late)).alias("hour"), F.lit(b"").alias("hash"), F.lit(0).cast("long").alias("n"))
-    mark.coalesce(1).write.parquet(f"{base}/mark")
+    for b in (batches, batches + 1):
+        mark.coalesce(1).write.parquet(f"{staged}/mark={b}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(feed))
     old = {k: spark.conf.get(k, None) for k in _CONF}
+    previous = -1
     try:
-        for b in range(batches):
+        for b in range(batches + 1):
+            rows = b >= batches - 1 or fs.exists(path(f"{staged}/batch={b}"))
             if fs.exists(path(f"{staged}/batch={b}")):
                 fs.rename(path(f"{staged}/batch={b}"), path(f"{feed}/batch={b}"))
-            if b == batches - 1:
-                fs.rename(path(f"{base}/mark"), path(f"{feed}/batch={batches}"))
+            if b >= batches - 1:
+                fs.rename(path(f"{staged}/mark={b + 1}"), path(f"{feed}/batch={b + 1}"))
             ship(spark)
             for k, v in _CONF.items():
                 spark.conf.set(k, v)
-            stream = closed_windows(spark.readStream.schema(_FED).parquet(feed), b, buckets, span, late)
+            stream = closed_windows(spark.readStream.schema(_FED).parquet(feed), b, previous, buckets, span, late)
             for k, v in _CONF.items():  # ship has set its own
                 spark.conf.set(k, v)
             run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
             run.awaitTermination()
+            previous = b if rows else previous
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

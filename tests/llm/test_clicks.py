@@ -74,12 +74,12 @@ def test_few_ids_many_events(spark, seed):
     rng = random.Random(seed)
     events = []
     for b in (0, 1, 3, 4):
-        for _ in range(150):
-            h = 480_000 + 60 * b + rng.randrange(-120, 60)
-            events.append((rng.choice([1, 1, 1, 2, 3, 50, 51]), h, hashlib.sha256(bytes([rng.randrange(3)])).hexdigest(), b))
+        for _ in range(200):
+            h = 480_000 + 70 * b + rng.randrange(-120, 60)
+            events.append((rng.choice([1, 1, 1, 2, 3, *range(50, 110)]), h, hashlib.sha256(bytes([rng.randrange(3)])).hexdigest(), b))
     df = spark.createDataFrame([(c, h, bytes.fromhex(x), 1, b) for c, h, x, b in events] + [(None, 480_001, b"", 1, 0), (9, None, b"", 1, 0)], "click_id long, hour long, hash binary, n long, batch int")
     folded = df.groupBy("click_id", "hour", "hash", "batch").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
-    assert got(cd.run_batches(spark, folded, 5, 3)) == brute_windows(events, 5)
+    assert got(cd.run_batches(spark, folded, 5, 30)) == brute_windows(events, 5)
 
 
 def test_empty_and_odd_rows(spark, tmp_path):
