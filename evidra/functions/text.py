@@ -204,14 +204,21 @@ def sentence_windows(x: Column | str, size: int = 3, stride: int = 2) -> Column:
     return let(F.transform(sentence_texts(t), lambda r: r["text"]), windows)
 
 
-def flatten_value(value: object, prefix: str = "") -> list[str]:
-    """`path: value` lines of a nested value, keys joined by dots, places in lists in brackets; null is written so, blanks stay."""
-    if isinstance(value, dict):
-        return [x for k, v in value.items() for x in flatten_value(v, f"{prefix}.{k}" if prefix else str(k))]
-    if isinstance(value, list):
-        return [x for i, v in enumerate(value) for x in flatten_value(v, f"{prefix}[{i}]")]
-    shown = "null" if value is None else str(value)
-    return [f"{prefix}: {shown}" if prefix else shown]
+def flatten_value(root: object) -> list[str]:
+    """`path: value` lines of a nested value in reading order, keys joined by dots, places in lists in brackets; null is written so, blanks stay. The
+    values still to be read lie on a stack, so nesting of any depth is read."""
+    lines: list[str] = []
+    waiting: list[tuple[str, object]] = [("", root)]
+    while waiting:
+        path, node = waiting.pop()
+        match node:
+            case dict():
+                waiting += [(f"{path}.{key}" if path else key, node[key]) for key in reversed(node)]
+            case list():
+                waiting += [(f"{path}[{n}]", node[n]) for n in range(len(node) - 1, -1, -1)]
+            case _:
+                lines.append((path and f"{path}: ") + ("null" if node is None else f"{node}"))
+    return lines
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

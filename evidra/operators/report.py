@@ -43,7 +43,11 @@ def interval(low: str = "ci_low", high: str = "ci_high") -> Column:
 
 
 def _cells(df: DataFrame, limit: int) -> list[list[str]]:
-    return [["" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(limit).collect()]
+    """The rows as text. A report of more than limit rows is an error, not a shorter report."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows: aggregate first, or write a table")
+    return [["" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in rows]
 
 
 def markdown(df: DataFrame, limit: int = 500) -> str:

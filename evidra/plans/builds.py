@@ -65,15 +65,16 @@ def evidence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "task", F.posexplode("units").alias("unit_index", "unit")).select("doc_id", "task", "unit_index", F.sha2("unit", 256).alias("unit_sha256"))
 
 
-_WORDS4 = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS slot, list_distinct(string_split(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), ' ')) AS w FROM conversations)"
+_WORDS4 = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS slot, list_filter(list_distinct(string_split(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), ' ')), x -> x <> '') AS w FROM conversations)"
 
 
 @query(f"""WITH {_WORDS4}, p AS (SELECT a.conv_id, CAST(a.slot AS INTEGER) AS slot_a, CAST(b.slot AS INTEGER) AS slot_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.slot < b.slot WHERE b.slot <= 4)
-           SELECT conv_id, slot_a, slot_b, round(i / CAST(u AS DOUBLE), 8) AS jaccard, i / CAST(u AS DOUBLE) >= 0.9 AS near FROM p""")
+           SELECT conv_id, slot_a, slot_b, round(coalesce(i / nullif(CAST(u AS DOUBLE), 0), 0), 8) AS jaccard, coalesce(i / nullif(CAST(u AS DOUBLE), 0), 0) >= 0.9 AS near FROM p""")
 def slot_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of the four slots of a row (the first four turns of a conversation) by the similarity of their word sets."""
+    """All pairs of the four slots of a row (the first four turns of a conversation) by the similarity of their word sets. A blank slot has no words: it is
+    like nothing, another blank slot included."""
     c = table(spark, sf_dir, "conversations").withColumn("slot", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("slot <= 4")
-    words = F.array_distinct(F.split(tx.normalise(F.lower("text")), " "))
+    words = F.array_remove(F.array_distinct(F.split(tx.normalise(F.lower("text")), " ")), "")
     wide = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("slot", words.alias("w")))).alias("s"))
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["slot"] > a["slot"]), lambda b: F.struct(a["slot"].alias("slot_a"), b["slot"].alias("slot_b"), sc.jaccard(a["w"], b["w"]).alias("j")))))
     return wide.select("conv_id", F.explode(pairs).alias("p")).select("conv_id", "p.slot_a", "p.slot_b", F.round("p.j", 8).alias("jaccard"), (F.col("p.j") >= 0.9).alias("near"))

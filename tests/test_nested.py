@@ -75,6 +75,9 @@ def test_reports(spark):
     df = spark.createDataFrame([("a_b", 0.5), ("c|d", None)], "name string, value double")
     assert rp.markdown(df).splitlines()[2:] == ["| a_b | 0.5000 |", "| c\\|d |  |"]
     assert r"a\_b & 0.5000 \\" in rp.latex(df, "t")
+    for write in (rp.markdown, lambda d, limit: rp.latex(d, "t", limit)):
+        with pytest.raises(ValueError, match="more than 1 rows"):
+            write(df, limit=1)
     s = spark.createDataFrame([("x", "y", "f1", 0.1, 0.2), ("x", "z", "f1", 0.1, 0.3)], "condition_a string, condition_b string, metric string, point_a double, point_b double")
     assert {(r.condition, r.value) for r in rp.points(s).collect()} == {("x", 0.1), ("y", 0.2), ("z", 0.3)}
     with pytest.raises(Exception, match="conflicting points"):

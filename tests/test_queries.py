@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from evidra.plans import audits, builds  # noqa: F401  register their queries
+from evidra.plans import audits, builds, learned  # noqa: F401  register their queries
 from evidra.plans import queries as q
 from tests.oracle import both
 
@@ -110,3 +110,10 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(q.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_blank_slots_are_like_nothing(spark, tmp_path):
+    rows = [(1, i, "user", t) for i, t in enumerate(["", "  ", "a b", "A  b"])] + [(2, 0, "user", None), (2, 1, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.slot_a, r.slot_b): (r.jaccard, r.near) for r in q.QUERIES["slot_similarity"](spark, str(tmp_path)).collect()}
+    assert got.pop((1, 3, 4)) == (1.0, True) and len(got) == 6 and set(got.values()) == {(0.0, False)}

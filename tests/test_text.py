@@ -77,6 +77,15 @@ def test_flatten_json():
     assert tx.flatten_value({"a": {"b": [1, {"c": "x"}]}, "d": None, "e": " "}) == ["a.b[0]: 1", "a.b[1].c: x", "d: null", "e:  "]
 
 
+def test_flatten_deep_and_bare():
+    deep = want = None
+    for _ in range(5000):
+        deep, want = [deep], f"[0]{want or ''}"
+    assert tx.flatten_value(deep) == [f"{want}: null"]
+    assert tx.flatten_value("x") == ["x"] and tx.flatten_value(None) == ["null"] and tx.flatten_value({}) == tx.flatten_value([]) == []
+    assert tx.flatten_value({"b": {"z": True, "a": 1.5}, "a": [[], [0]]}) == ["b.z: True", "b.a: 1.5", "a[1][0]: 0"]
+
+
 def test_evidence_units(spark):
     rows = [("QA", "passage 1: a b\npassage 3: c"), ("Summary", "One is. Two is. Three is. Four is. Five is. Six is."), ("Summary", "Only one."), ("Data2txt", '{"k": [null, "v"], "n": true}'), ("QA", None)]
     got = [r.u for r in spark.createDataFrame(rows, "task string, source string").coalesce(1).select(tx.evidence_units("task", "source").alias("u")).collect()]
