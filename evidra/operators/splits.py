@@ -12,7 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from evidra.sources.writers import settled
 
 #: Candidate draws; bins of the draws' hashes; groups of one greedy block.
 CANDIDATES, BINS, BLOCK = 128, 1024, 4096
@@ -66,7 +67,7 @@ def fixed_group_split(df: DataFrame, group: str, label: str, fraction: float, ca
     """
     if not 0 < fraction < 1:
         raise ValueError("the fraction lies between 0 and 1")
-    g = totals(df, group, label)
+    g = settled(totals(df, group, label), "totals")
     whole = {r["positive"]: (r["g"], r["n"], r["p"]) for r in g.groupBy("positive").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum("p").alias("p")).collect()}
     groups, rows, positives = (sum(v[i] for v in whole.values()) for i in range(3))
     if groups < 4 or min(whole.get(s, (0,))[0] for s in (False, True)) < 2:
@@ -76,7 +77,7 @@ def fixed_group_split(df: DataFrame, group: str, label: str, fraction: float, ca
     share = stratum_sizes({s: v[0] for s, v in whole.items()}, size)
     each = g.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
     each = each.withColumn("h", draw(F.col("group"), F.col("candidate"), seed))
-    held = smallest(each, ["candidate", "positive"], "h", ["group"], F.when(F.col("positive"), share[True]).otherwise(share[False]))
+    held = settled(smallest(each, ["candidate", "positive"], "h", ["group"], F.when(F.col("positive"), share[True]).otherwise(share[False])), "draws")
     made = held.groupBy("candidate").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum("p").alias("p"))
     loss = F.abs(F.col("g") / groups - fraction) + F.abs(F.col("n") / rows - fraction) + 2 * F.abs(F.col("p") / F.col("n") - positives / rows)
     losses = [(r["candidate"], r["loss"]) for r in made.select("candidate", F.round(loss, 12).alias("loss")).collect()]  # one row a candidate
@@ -130,6 +131,7 @@ def even_folds(g: DataFrame, keys: list[str], k: int, seed: int, block: int = BL
         return part[[*keys, "__block", "group", "n", "p", "fold"]]
 
     dealt = rows.select(*cols).groupBy(*keys, "__block").applyInPandas(deal, f"{names}{sep}__block long, group {kinds['group'].simpleString()}, n long, p long, fold int")
+    dealt = settled(dealt, "dealt")
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         held, out = np.zeros((k, 2)), []
@@ -145,7 +147,7 @@ def even_folds(g: DataFrame, keys: list[str], k: int, seed: int, block: int = BL
 
     cells = dealt.groupBy(*keys, "__block", "fold").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     moved = cells.groupBy(*keys).applyInPandas(merge, f"{names}{sep}__block long, fold int, merged int")
-    return dealt.join(moved, [*keys, "__block", "fold"]).select(*keys, "group", "n", "p", F.col("merged").alias("fold"))
+    return settled(dealt.join(moved, [*keys, "__block", "fold"]).select(*keys, "group", "n", "p", F.col("merged").alias("fold")), "folds")
 
 
 def nested_group_folds(df: DataFrame, group: str, label: str, outer: int = 5, inner: int = 5, seed: int = 0, block: int = BLOCK) -> DataFrame:
@@ -154,7 +156,7 @@ def nested_group_folds(df: DataFrame, group: str, label: str, outer: int = 5, in
     Of the inner folds that one is validation whose |prevalence - that of train and validation| + 0.25 |share of rows - 1 / inner| is least, to 12 digits; ties
     by number. A role of an outer fold without both classes, or without rows, is an error.
     """
-    g = totals(df, group, label).select("group", "n", "p")
+    g = settled(totals(df, group, label).select("group", "n", "p"), "totals")
     folds = even_folds(g, [], outer, seed, block)
     each = folds.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
     test = each.where(F.col("fold") == F.col("outer_fold")).select("outer_fold", "group", F.lit("test").alias("role"), "n", "p")

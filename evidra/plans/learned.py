@@ -1,4 +1,4 @@
-"""Queries of pooling heads and of splits with exact sizes."""
+"""Queries of pooling heads, of splits with exact sizes and of bootstraps by one stream."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.operators import pooling as po
+from evidra.operators import quality as qu
 from evidra.operators import splits as sp
-from evidra.plans.queries import _SCORED, query, rounded, scored
+from evidra.operators import streams as st
+from evidra.plans.queries import _SCORED, REPLICATES, query, rounded, scored
 from evidra.sources.readers import table
 
 #: Numbers of a vector in the driver's table; rows of the gated head's matrices.
@@ -110,3 +112,22 @@ def nested_fold_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sp.nested_group_folds(rows, "source", "label")
     faults = sp.fold_faults(got, rows, "source", 5).agg(F.count("*").alias("faults"))
     return got.groupBy("outer_fold").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.count_distinct("group").alias("groups")).crossJoin(F.broadcast(faults))
+
+
+# -- bootstraps by one stream ---------------------------------------------------------------------------------------------
+
+
+@query()
+def stream_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two systems compared by a cluster bootstrap whose draws go on from metric to metric."""
+    rows = scored(spark, sf_dir).withColumn("t", F.pmod(F.col("doc_id") * 6101 + 29, F.lit(1000)) / 1000.0)
+    got = st.paired_cluster(rows, "source", "label", (F.col("s") >= 0.5, "s"), (F.col("t") >= 0.5, "t"), REPLICATES, 42)
+    return rounded(got, *got.columns[1:])
+
+
+@query()
+def qcut_auprc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision by quality quartile with an interval over groups; rows without a quality are left out first."""
+    b = qu.quantile_buckets(scored(spark, sf_dir).where(F.col("n_chars").isNotNull()), "n_chars", 4)
+    got = st.bucket_intervals(b, "bucket", "source", "label", "s", REPLICATES, 4242)
+    return rounded(got, "value", "ci95_lower", "ci95_upper")

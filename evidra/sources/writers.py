@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,22 @@ def write_staged(df: DataFrame, path: str, kind: str = "parquet", **options: str
     return path
 
 
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df as a written table in a new folder under spark.checkpoint.dir, read again: what several plans use is computed once and survives lost executors.
+    Where the setting is unset, a local master gets a folder of its own; on a cluster that is an error. The folder goes when the application ends."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.sparkContext._evidra_settled = getattr(spark.sparkContext, "_evidra_settled", None) or tempfile.mkdtemp(prefix="evidra-settled-")
+    path = f"{base.rstrip('/')}/evidra/{tag}-{uuid.uuid4().hex}"
+    p, fs = _fs(spark, path)
+    fs.deleteOnExit(p)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, such as a manifest or report, through the table's own file system."""
     p, fs = _fs(spark, path)
