@@ -10,8 +10,9 @@ event closes it and opens the next. The watermark trails the latest hour by LATE
 hour is below latest - LATE, and a window expires exactly if start + SPAN is. A window that lies that far behind the bucket's own latest hour expires after
 this batch for certain, whatever the other buckets hold; it is given out at once and never enters the state.
 
-A batch's rows are folded by (id, hour, hash) before they are written, so that a hot id with equal copies is one row; a task holds the distinct (id, hour,
-hash) of one bucket and batch, some ROWS. Rows without id or arrival time have no place in a window and are left out; every other column may be null.
+A batch's rows are folded by (id, hour, hash) before they are written, and those of a bucket and hour are packed into one row, since a row costs a Python
+worker far more than what it holds. They are dealt by bucket, batch and hour, so a hot id is spread over its hours. A task holds the distinct (id, hour, hash) of one
+bucket and batch, some ROWS. Rows without id or arrival time have no place in a window and are left out; every other column may be null.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +30,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from evidra.llm.common import scratch_path, ship
 
 #: Hours that a window takes repeats after its start; hours that an event may trail the latest one; batches; rows of a bucket in one batch.
-SPAN, LATE, BATCHES, ROWS = 24, 96, 8, 4096
+SPAN, LATE, BATCHES, ROWS = 24, 96, 8, 1 << 14
 HOUR_MS = 3_600_000
 WINDOW = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
-_FED = "click_id long, hour long, hash binary, n long, batch int"
+_FED = "bucket long, hour long, clicks array<long>, hashes array<binary>, counts array<long>, batch int"
 #: Of the streaming session: state that Spark keeps in RocksDB, its changes written as a log, nothing left open on an executor; one
 #: micro-batch a start; rows of an Arrow batch.
 _CONF = {
@@ -44,7 +46,7 @@ _CONF = {
 
 
 class ExpiringWindows(StatefulProcessor):
-    """Closed windows of a bucket. Rows have click_id, hour, hash, n (equal copies); rows with a null id only move the watermark. batch is the number of the
+    """Closed windows of a bucket. A row has an hour and arrays of its events: clicks, hashes, counts (equal copies). batch is the number of the
     batch that is read, previous that of the last one before it that had rows: windows that the watermark has closed carry it."""
 
     def __init__(self, batch: int, previous: int, span: int = SPAN, late: int = LATE) -> None:
@@ -57,7 +59,7 @@ class ExpiringWindows(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        events = sorted((r.click_id, r.hour, bytes(r.hash), r.n) for r in rows if r.click_id is not None and r.hour * HOUR_MS > now)
+        events = sorted(e for r in rows if r.hour * HOUR_MS > now for e in zip(r.clicks, repeat(r.hour), r.hashes, r.counts))
         if not events:
             return
         before = {k[0]: v for k, v in self.windows.iterator()}
@@ -127,12 +129,18 @@ class ExpiringWindows(StatefulProcessor):
             self.handle.registerTimer(t)
 
 
-def closed_windows(events: DataFrame, batch: int, previous: int, buckets: int, span: int = SPAN, late: int = LATE) -> DataFrame:
-    """The streaming frame of windows (WINDOW) that close while the streaming frame events (click_id, hour, hash, n) is read; batch and previous mark them."""
+def packed(events: DataFrame, buckets: int) -> DataFrame:
+    """One row for each bucket, batch and hour of events (click_id, hour, hash, n, batch), equal ones folded. One shuffle."""
+    rows = events.withColumn("bucket", F.pmod(F.xxhash64("click_id"), F.lit(buckets))).repartition("bucket", "batch", "hour")
+    folded = rows.groupBy("bucket", "batch", "hour", "click_id", "hash").agg(F.sum("n").alias("n"))
+    cells = folded.groupBy("bucket", "batch", "hour").agg(F.collect_list(F.struct("click_id", "hash", "n")).alias("e"))
+    return cells.select("bucket", "hour", F.col("e.click_id").alias("clicks"), F.col("e.hash").alias("hashes"), F.col("e.n").alias("counts"), F.col("batch").cast("int"))
+
+
+def closed_windows(events: DataFrame, batch: int, previous: int, span: int = SPAN, late: int = LATE) -> DataFrame:
+    """The streaming frame of windows (WINDOW) that close while the streaming frame events (as packed gives them) is read; batch and previous mark them."""
     ship(events.sparkSession)
-    rows = events.select(
-        F.pmod(F.xxhash64("click_id"), F.lit(buckets)).alias("bucket"), F.timestamp_seconds(F.col("hour") * 3600).alias("at"), "click_id", "hour", "hash", "n"
-    ).withWatermark("at", f"{late * 60 + 30} minutes")
+    rows = events.select("bucket", F.timestamp_seconds(F.col("hour") * 3600).alias("at"), "hour", "clicks", "hashes", "counts").withWatermark("at", f"{late * 60 + 30} minutes")
     return rows.groupBy("bucket").transformWithState(ExpiringWindows(batch, previous, span, late), WINDOW, "Append", "EventTime")
 
 
@@ -147,11 +155,12 @@ def run_batches(spark: SparkSession, events: DataFrame, batches: int, buckets: i
     base = scratch_path(spark, "clicks")
     feed, staged, out = f"{base}/feed", f"{base}/staged", f"{base}/windows"
     kept = events.where("click_id IS NOT NULL AND hour IS NOT NULL")
-    kept.select("click_id", "hour", "hash", "n", F.col("batch").cast("int")).write.partitionBy("batch").parquet(staged)
+    packed(kept, buckets).write.partitionBy("batch").parquet(staged)
     last = spark.read.schema(_FED).parquet(staged).agg(F.max("hour")).first()[0]
     if last is None:
         return spark.createDataFrame([], WINDOW)
-    mark = spark.range(1).select(F.lit(None).cast("long").alias("click_id"), F.lit(last + 2 * (span + late)).alias("hour"), F.lit(b"").alias("hash"), F.lit(0).cast("long").alias("n"))
+    none = [F.array().cast(f"array<{t}>").alias(c) for c, t in (("clicks", "long"), ("hashes", "binary"), ("counts", "long"))]
+    mark = spark.range(1).select(F.lit(-1).cast("long").alias("bucket"), F.lit(last + 2 * (span + late)).alias("hour"), *none)
     for b in (batches, batches + 1):
         mark.coalesce(1).write.parquet(f"{staged}/mark={b}")
     jvm = spark.sparkContext._jvm
@@ -170,7 +179,7 @@ def run_batches(spark: SparkSession, events: DataFrame, batches: int, buckets: i
             ship(spark)
             for k, v in _CONF.items():
                 spark.conf.set(k, v)
-            stream = closed_windows(spark.readStream.schema(_FED).parquet(feed), b, previous, buckets, span, late)
+            stream = closed_windows(spark.readStream.schema(_FED).parquet(feed), b, previous, span, late)
             for k, v in _CONF.items():  # ship has set its own
                 spark.conf.set(k, v)
             run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
@@ -207,8 +216,8 @@ def op11_click_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not n:
         return spark.createDataFrame([], WINDOW)
     batch = F.expr(f"(place - {low}) * {BATCHES} div {high - low + 1}")
-    folded = rows.groupBy("click_id", "hour", "hash", batch.alias("batch")).agg(F.count("*").alias("n"))
-    return run_batches(spark, folded, BATCHES, math.ceil(n / (BATCHES * ROWS)))
+    events = rows.select("click_id", "hour", "hash", F.lit(1).cast("long").alias("n"), batch.alias("batch"))
+    return run_batches(spark, events, BATCHES, math.ceil(n / (BATCHES * ROWS)))
 
 
 ORACLES: dict[str, str] = {}
