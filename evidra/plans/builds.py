@@ -65,7 +65,7 @@ def evidence_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "task", F.posexplode("units").alias("unit_index", "unit")).select("doc_id", "task", "unit_index", F.sha2("unit", 256).alias("unit_sha256"))
 
 
-_WORDS4 = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS slot, list_filter(list_distinct(string_split(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), ' ')), x -> x <> '') AS w FROM conversations)"
+_WORDS4 = "t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS slot, list_filter(list_distinct(string_split(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), ' ')), lambda x: x <> '') AS w FROM conversations)"
 
 
 @query(f"""WITH {_WORDS4}, p AS (SELECT a.conv_id, CAST(a.slot AS INTEGER) AS slot_a, CAST(b.slot AS INTEGER) AS slot_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.slot < b.slot WHERE b.slot <= 4)
