@@ -25,6 +25,12 @@ def mock_encoder(dimension: int = 32, prefix: str = "") -> Callable[[Column], Co
     return encode
 
 
+def hashed_bag(tokens: Column) -> Column:
+    """Counts of tokens by the first hex digit of their md5: 16 whole numbers, in the JVM."""
+    digits = F.array_join(F.transform(tokens, lambda t: F.substring(F.md5(t), 1, 1)), "")
+    return F.transform(F.split(F.lit("0123456789abcdef"), ""), lambda d: F.length(digits) - F.length(F.replace(digits, d, F.lit(""))))
+
+
 def fake_translator(mark: str = "pt:") -> Callable[[Column], Column]:
     return lambda text: F.concat(F.lit(mark), text)
 

@@ -47,6 +47,11 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine of two arrays, 0 if either has no length. Exact up to its root and quotient if the numbers are whole."""
+    return safe_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+
+
 def unit(a: Column | str, tol: float = 2e-3) -> Column:
     """Whether a vector is finite and of length 1 within tol."""
     return F.forall(_c(a), lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.abs(norm(a) - 1) <= tol)

@@ -7,6 +7,8 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,26 +36,31 @@ def content_hash(df: DataFrame) -> str:
     return signature([int(x or 0) for x in r])
 
 
-def write_staged(df: DataFrame, path: str, kind: str = "parquet", **options: str) -> str:
-    """Write beside path, then rename; refuses an existing path and leaves nothing if the write fails."""
-    spark = df.sparkSession
+@contextmanager
+def staged(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder beside path that becomes path when the block ends, and goes if it fails; refuses an existing path."""
     if exists(spark, path):
         raise FileExistsError(path)
     stage = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
     p, fs = _fs(spark, stage)
     try:
-        df.write.format(kind).options(**options).save(stage)
+        yield stage
         if not fs.rename(p, _fs(spark, path)[0]):
             raise OSError(f"cannot rename to {path}")
     finally:
         fs.delete(p, True)
+
+
+def write_staged(df: DataFrame, path: str, kind: str = "parquet", **options: str) -> str:
+    """Write beside path, then rename; refuses an existing path and leaves nothing if the write fails."""
+    with staged(df.sparkSession, path) as stage:
+        df.write.format(kind).options(**options).save(stage)
     return path
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """df as a written table in a new folder under spark.checkpoint.dir, read again: what several plans use is computed once and survives lost executors.
-    Where the setting is unset, a local master gets a folder of its own; on a cluster that is an error. The folder goes when the application ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path under spark.checkpoint.dir. Where the setting is unset, a local master gets a folder of its own; on a cluster that is an error.
+    What is written there goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -62,8 +69,14 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     path = f"{base.rstrip('/')}/evidra/{tag}-{uuid.uuid4().hex}"
     p, fs = _fs(spark, path)
     fs.deleteOnExit(p)
+    return path
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df as a written table in a new folder of scratch, read again: what several plans use is computed once and survives lost executors."""
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
