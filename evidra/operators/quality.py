@@ -119,6 +119,50 @@ def error_model(df: DataFrame, target: str, features: list[str], ridge: float =
     return spark.createDataFrame([*zip(features, m.coefficients.toArray().tolist(), strict=True), ("intercept", float(m.intercept))], schema)
 
 
+def logistic_fit(df: DataFrame, target: str, features: list[str], c: float = 1.0, steps: int = 100, tol: float = 1e-9) -> DataFrame:
+    """Logistic regression of a 0/1 target on the features as they are, with the penalty |w|^2 / 2 against c times the summed loss and a free intercept:
+    feature, coefficient; the intercept, too. Rows with a null or NaN are left out; one class gives no row. Newton's method: equal rows are folded once, each
+    step is one aggregate of the loss, its gradient and curvature (as many numbers as features squared), halved while the loss would rise."""
+    import numpy as np
+
+    from evidra.sources.writers import settled
+
+    d, spark = len(features), df.sparkSession
+    x = [F.col(f"x{i}") for i in range(d)] + [F.lit(1.0)]
+    rows = df.select(F.col(target).cast("double").alias("y"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]).dropna()
+    folded = settled(rows.groupBy(*[f"x{i}" for i in range(d)]).agg(F.count("*").alias("n"), F.sum("y").alias("pos")), "logistic")
+    total = folded.agg(F.sum("n").alias("n"), F.sum("pos").alias("p")).first()
+    if not total["n"] or total["p"] in (0, total["n"]):
+        return spark.createDataFrame([], "feature string, coefficient double")
+    ridge = np.diag([1.0 / c] * d + [0.0])
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = sum((F.lit(float(b)) * v for b, v in zip(w, x, strict=True)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-z))
+        loss = F.col("n") * (F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0))) - F.col("pos") * z
+        curve = F.col("n") * p * (1 - p)
+        got = folded.agg(F.sum(loss), *[F.sum((F.col("n") * p - F.col("pos")) * v) for v in x], *[F.sum(curve * x[i] * x[j]) for i in range(d + 1) for j in range(i + 1)]).first()
+        h, rest = np.zeros((d + 1, d + 1)), iter(got[d + 2 :])
+        for i in range(d + 1):
+            for j in range(i + 1):
+                h[i, j] = h[j, i] = next(rest)
+        return got[0] + w @ ridge @ w / 2, np.array(got[1 : d + 2]) + ridge @ w, h + ridge
+
+    w = np.zeros(d + 1)
+    loss, slope, curve = at(w)
+    for _ in range(steps):
+        step = np.linalg.lstsq(curve, slope, rcond=None)[0]
+        if slope @ step <= tol * (1 + abs(loss)):
+            w = w - step
+            break
+        new = at(w - step)
+        while new[0] > loss and np.abs(step).max() > 1e-12:
+            step = step / 2
+            new = at(w - step)
+        w, (loss, slope, curve) = w - step, new
+    return spark.createDataFrame([*zip(features, map(float, w[:d]), strict=True), ("intercept", float(w[d]))], "feature string, coefficient double")
+
+
 def order_breaks(rows: DataFrame, source: str, output: str, size: int = 100_000) -> DataFrame:
     """n and out_of_order: rows whose source position is not above that of the row before them by output position. Neighbours meet
     inside ranges of output positions; the last row of a range is carried over to the next range that has rows."""

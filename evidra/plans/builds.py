@@ -113,9 +113,9 @@ def nested_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def error_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrong decisions by a quality signal and truncation: logistic coefficients."""
+    """Wrong decisions by a quality signal and truncation: logistic coefficients of the signals as they are, at unit penalty."""
     s = scored(spark, sf_dir).select(((F.col("s") >= 0.5) != (F.col("label") == 1)).cast("int").alias("error"), F.col("n_chars").alias("quality"), (F.col("n_chars") > 2000).cast("int").alias("truncated"))
-    return rounded(qu.error_model(s, "error", ["quality", "truncated"]), "coefficient", digits=6)
+    return rounded(qu.logistic_fit(s, "error", ["quality", "truncated"]), "coefficient", digits=6)
 
 
 _BUCKETS = """e AS (SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS q2, quantile_cont(n_chars, 0.75) AS q3, min(n_chars) AS lo FROM sc),

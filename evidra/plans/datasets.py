@@ -1,4 +1,4 @@
-"""Queries of dataset builds with their audit, and of labels joined after scoring."""
+"""Queries of dataset builds with their audit, of labels joined after scoring, of stored metrics and of decisions out of fold."""
 
 from __future__ import annotations
 
@@ -9,9 +9,12 @@ from evidra.functions import models as mo
 from evidra.functions import text as tx
 from evidra.functions.scalars import cosine
 from evidra.operators import dataset as ds
+from evidra.operators import frozen as fz
 from evidra.operators import guard as gd
+from evidra.operators import metrics as me
 from evidra.operators import retrieval as re_
-from evidra.plans.queries import _TOKENS, query
+from evidra.operators import views as vw
+from evidra.plans.queries import _CUBE, _TOKENS, cube, query
 from evidra.sources import writers as wr
 from evidra.sources.readers import table
 
@@ -73,3 +76,54 @@ def labels_after_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
     scores = d.select("doc_id", "source", F.round(F.col("n_chars") / (F.col("n_chars") + 500.0), 8).alias("score"))
     return gd.label_after(scores, labels, "doc_id", "quality").withColumnRenamed("quality", "label")
+
+
+# -- out of fold --------------------------------------------------------------------------------------------------------------
+
+#: Outer folds by source. The fold after the test fold is its validation part.
+FOLDS = 5
+_FOLD_SQL = f"CAST(floor(((CAST(substring(source, 4) AS BIGINT) * 48271 + 11) % 2147483647) / 7.0) AS BIGINT) % {FOLDS}"
+
+
+@query(f"""WITH {_CUBE}, e AS (SELECT doc_id, CAST({_FOLD_SQL} AS INTEGER) AS fold, max(label) AS label, avg(score) AS score FROM cb WHERE condition = 'base' GROUP BY doc_id, source),
+           v AS (SELECT (fold + {FOLDS - 1}) % {FOLDS} AS fold, label, score FROM e),
+           th AS (SELECT DISTINCT fold, score AS t FROM v UNION SELECT DISTINCT fold, x.t FROM v, (SELECT unnest([0.0::DOUBLE, 1.0::DOUBLE, 1.0000000000000002::DOUBLE]) AS t) x),
+           pt AS (SELECT v.fold, t, count(*) FILTER (score >= t AND label = 1) AS tp, count(*) FILTER (score >= t AND label = 0) AS fp, count(*) FILTER (score < t AND label = 0) AS tn, count(*) FILTER (score < t AND label = 1) AS fn FROM v JOIN th ON v.fold = th.fold GROUP BY 1, 2),
+           pm AS (SELECT fold, t, coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS recall, coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0) AS fpr FROM pt),
+           f AS (SELECT fold, t FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, t DESC) AS r FROM pm) WHERE r = 1),
+           o AS (SELECT fold, t FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY recall DESC, fpr ASC, t DESC) AS r FROM pm WHERE fpr <= 0.1 + 1e-12) WHERE r = 1)
+           SELECT doc_id, e.fold, CAST(label AS INTEGER) AS label, round(score, 8) AS score, f.t AS threshold_max_f1, o.t AS threshold_operational, score >= f.t AS prediction_max_f1, score >= o.t AS prediction_operational
+           FROM e JOIN f ON e.fold = f.fold JOIN o ON e.fold = o.fold""")
+def out_of_fold_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled document decided once, by thresholds of its outer fold's validation part, over scores averaged across seeds."""
+    e = cube(spark, sf_dir).where("condition = 'base'").groupBy("doc_id", "source").agg(F.max("label").alias("label"), F.avg("score").alias("score"))
+    e = e.withColumn("fold", vw.bucket(F.substring("source", 4, 10).cast("long"), FOLDS).cast("int"))
+    validation = e.withColumn("fold", F.pmod(F.col("fold") + FOLDS - 1, F.lit(FOLDS)))
+    got = fz.out_of_fold(validation, e, table(spark, sf_dir, "labels").select("doc_id"), "fold", "doc_id", "label", "score")
+    return got.withColumn("score", F.round("score", 8)).withColumn("label", F.col("label").cast("int"))
+
+
+# -- stored metrics -------------------------------------------------------------------------------------------------------------
+
+#: Metrics held against their stored values, with the tolerance of each.
+TOLERANCES = {"precision": 1e-12, "recall": 1e-12, "f1": 1e-6}
+
+
+def _rates_of(where: str) -> str:
+    return f"""SELECT condition, CAST(seed AS INTEGER) AS seed, source, coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS precision, coalesce(CAST(tp AS DOUBLE) / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS recall, coalesce(CAST(2 * tp AS DOUBLE) / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f1
+        FROM (SELECT condition, seed, source, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn FROM cb WHERE {where} GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_CUBE}, a AS ({_rates_of("doc_id % 11 <> 0")}), b AS ({_rates_of("true")}),
+           la AS (UNPIVOT a ON precision, recall, f1 INTO NAME metric VALUE x), lb AS (UNPIVOT b ON precision, recall, f1 INTO NAME metric VALUE x)
+           SELECT lb.condition, lb.seed, lb.source, lb.metric, round(la.x, 8) AS observed, round(lb.x, 8) AS stored,
+                  CASE WHEN la.x IS NULL THEN 'extra' WHEN abs(la.x - lb.x) > CASE WHEN lb.metric = 'f1' THEN 1e-6 ELSE 1e-12 END THEN 'differs' END AS fault
+           FROM lb LEFT JOIN la ON la.condition = lb.condition AND la.seed = lb.seed AND la.source = lb.source AND la.metric = lb.metric""")
+def stored_metric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by run and source, computed anew after a change of the population (every eleventh document was withdrawn), against the stored ones of all:
+    each cell with its fault, if any."""
+    c = cube(spark, sf_dir)
+    at = [me.confusion(x, ["condition", "seed", "source"], "label", F.col("score") >= 0.5) for x in (c.where("doc_id % 11 <> 0"), c)]
+    stored = wr.settled(at[1], "stored-metrics")
+    got = fz.cells(at[0], stored, ["condition", "seed", "source"], TOLERANCES)
+    return got.withColumns({k: F.round(k, 8) for k in ("observed", "stored")})
