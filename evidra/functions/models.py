@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidra.functions.text import let
+
 
 def mock_encoder(dimension: int = 32, prefix: str = "") -> Callable[[Column], Column]:
     """Unit vectors that depend on nothing but the text."""
@@ -28,7 +30,8 @@ def mock_encoder(dimension: int = 32, prefix: str = "") -> Callable[[Column], Co
 def hashed_bag(tokens: Column) -> Column:
     """Counts of tokens by the first hex digit of their md5: 16 whole numbers, in the JVM."""
     digits = F.array_join(F.transform(tokens, lambda t: F.substring(F.md5(t), 1, 1)), "")
-    return F.transform(F.split(F.lit("0123456789abcdef"), ""), lambda d: F.length(digits) - F.length(F.replace(digits, d, F.lit(""))))
+    kinds = [F.lit(d) for d in "0123456789abcdef"]
+    return let(digits, lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, d, F.lit("")))).cast("double") for d in kinds]))
 
 
 def fake_translator(mark: str = "pt:") -> Callable[[Column], Column]:
