@@ -43,29 +43,56 @@ def slots_wide(top: DataFrame, claim_id: str = "claim_id", k: int = SLOTS) -> Da
     return got.select(claim_id, *cols, F.transform("s", lambda x: x["evidence_id"] >= 0).alias("evidence_mask"))
 
 
-def tfidf_top_k(claims: DataFrame, units: DataFrame, group: str, claim_id: str, unit_id: str, text_col: str, k: int = SLOTS) -> DataFrame:
-    """Cosine of smoothed tf-idf vectors (words and word pairs; the corpus of a claim is itself and its group's units),
-    best k. Blank units are left out, units without a common term score 0. Groups of at most k units keep all, in order of their id, without a score."""
-    units = units.where(F.col(text_col).rlike(r"(?U)\S"))
-    sized = units.groupBy(F.col(group).alias("__sg")).agg(F.count("*").alias("n_units"))
-    docs = claims.select(F.col(claim_id).alias("claim_id"), F.lit(-1).cast("long").alias("unit_id"), F.col(text_col).alias("text"), F.col(group).alias("__g"))
-    pairs = claims.select(F.col(claim_id).alias("claim_id"), F.col(group).alias("__g")).join(units.select(F.col(group).alias("__g"), F.col(unit_id).cast("long").alias("unit_id"), F.col(text_col).alias("text")), "__g").select("claim_id", "unit_id", "text", "__g")
-    both = docs.unionAll(pairs).join(sized, F.col("__g") == F.col("__sg"))
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0))
-    both = both.withColumn("w", words)
-    pairs2 = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    terms = both.select("claim_id", "unit_id", "n_units", F.explode(F.concat("w", pairs2)).alias("term")).groupBy("claim_id", "unit_id", "n_units", "term").agg(F.count("*").alias("tf"))
-    df_ = terms.groupBy("claim_id", "term").agg(F.count("*").alias("df"))
-    weighted = terms.join(df_, ["claim_id", "term"]).withColumn("x", F.col("tf") * (F.ln((F.lit(2.0) + F.col("n_units")) / (1.0 + F.col("df"))) + 1))
-    norms = weighted.groupBy("claim_id", "unit_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    claim_side = weighted.where("unit_id = -1").select("claim_id", "term", F.col("x").alias("cx"))
-    products = weighted.where("unit_id >= 0").join(claim_side, ["claim_id", "term"], "left").groupBy("claim_id", "unit_id", "n_units").agg(F.sum(F.coalesce(F.col("x") * F.col("cx"), F.lit(0.0))).alias("p"))
-    cn = norms.where("unit_id = -1").select("claim_id", F.col("norm").alias("cnorm"))
-    cosines = products.drop("n_units").join(norms, ["claim_id", "unit_id"]).join(cn, "claim_id", "left").select("claim_id", "unit_id", safe_divide("p", F.col("norm") * F.col("cnorm")).alias("cosine"))
-    scored = both.where("unit_id >= 0").select("claim_id", "unit_id", "n_units").join(cosines, ["claim_id", "unit_id"], "left")
-    scored = scored.select("claim_id", "unit_id", F.when(F.col("n_units") > k, F.coalesce("cosine", F.lit(0.0))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc_nulls_last("score"), "unit_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def terms_of(text: Column | str) -> Column:
+    """Lower-cased words and pairs of neighbouring words, with repeats."""
+    c = F.col(text) if isinstance(text, str) else text
+    w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    return F.concat(w, pairs)
+
+
+def tfidf_top_k(claims: DataFrame, units: DataFrame, group: str, claim_id: str, unit_id: str, text_col: str, k: int = SLOTS, most: int = 128) -> DataFrame:
+    """k slots a claim (claim_id, rank, unit_id, score, mask): the units of its group that are most like it by the cosine of smoothed tf-idf vectors over words and word
+    pairs, where the corpus is the claim and its group's units. Texts are stripped, blank units left out, and the first `most` units of a group by id are its units: both are
+    part of the definition. Equal scores (to 9 digits) go by unit id. Up to k units are all kept in order without a score; slots without a unit have mask false. Claim ids
+    are unique; a claim of a null or unknown group has empty slots only.
+
+    Terms of units and their frequencies are counted once a group. A claim raises the document frequency of its own terms by one, so a unit's squared norm is its own over
+    the group plus a correction for the terms it shares with the claim: only the claims' terms are joined, on (group, term), with lists of at most `most` units."""
+    g = F.col(group).alias("__g")
+    u = units.select(g, F.col(unit_id).cast("long").alias("unit_id"), F.regexp_replace(text_col, r"(?U)^\s+|\s+$", "").alias("t")).where("t <> '' AND __g IS NOT NULL")
+    u = u.withColumn("o", F.row_number().over(Window.partitionBy("__g").orderBy("unit_id", "t"))).where(F.col("o") <= most)
+    sizes = u.groupBy("__g").agg(F.max("o").alias("n"), F.array_sort(F.collect_list(F.struct("o", "unit_id"))).alias("all"))
+    c = claims.select(F.col(claim_id).alias("claim_id"), g, F.col(text_col).alias("t")).join(sizes.select("__g", "n"), "__g", "left")
+    tf = u.select("__g", "o", F.explode(terms_of("t")).alias("term")).groupBy("__g", "o", "term").agg(F.count("*").alias("tf"))
+    lists = tf.groupBy("__g", "term").agg(F.collect_list(F.struct("o", "tf")).alias("in"))
+
+    def idf(n: Column | str, df: Column) -> Column:
+        return F.ln((F.lit(2.0) + n) / (F.lit(1.0) + df)) + 1
+
+    own = lists.join(sizes.select("__g", "n"), "__g").select("__g", F.explode("in").alias("i"), F.pow(idf(F.col("n"), F.size("in")), F.lit(2.0)).alias("w2"))
+    own = own.groupBy("__g", F.col("i.o").alias("o")).agg(F.sum(F.pow("i.tf", F.lit(2.0)) * F.col("w2")).alias("own"))
+    own = own.groupBy("__g").agg(F.map_from_entries(F.collect_list(F.struct("o", "own"))).alias("own"))
+    ct = c.where(F.col("n") > k).select("claim_id", "__g", "n", F.explode(terms_of("t")).alias("term")).groupBy("claim_id", "__g", "n", "term").agg(F.count("*").alias("ctf"))
+    j = ct.join(lists, ["__g", "term"], "left")
+    df = F.greatest(F.size("in"), F.lit(0))
+    j = j.select("claim_id", "ctf", F.pow(idf(F.col("n"), df + 1), F.lit(2.0)).alias("w1"), F.pow(idf(F.col("n"), df), F.lit(2.0)).alias("w0"), "in")
+    # Ordinal 0 is the claim itself: its product is its squared norm.
+    j = j.select("*", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("o"), F.col("ctf").alias("tf"))), F.coalesce("in", F.array().cast("array<struct<o:int,tf:bigint>>")))).alias("i"))
+    m = j.groupBy("claim_id", F.col("i.o").alias("o")).agg(F.sum(F.col("ctf") * F.col("i.tf") * F.col("w1")).alias("p"), F.sum(F.pow("i.tf", F.lit(2.0)) * (F.col("w1") - F.col("w0"))).alias("more"))
+    m = m.groupBy("claim_id").agg(F.map_from_entries(F.collect_list(F.struct("o", F.struct("p", "more")))).alias("m"))
+    r = c.select("claim_id", "__g", "n").join(sizes.select("__g", "all"), "__g", "left").join(own, "__g", "left").join(m, "claim_id", "left")
+
+    def score(x: Column) -> Column:
+        hit = F.element_at("m", x["o"])
+        norm = F.sqrt((F.element_at("own", x["o"]) + hit["more"]) * F.element_at("m", F.lit(0))["p"])
+        return F.when(F.col("n") > k, F.coalesce(safe_divide(hit["p"], norm), F.lit(0.0)))
+
+    ranked = F.array_sort(F.transform("all", lambda x: F.struct((-F.round(F.coalesce(score(x), F.lit(0.0)), 9)).alias("by"), x["o"].alias("o"), x["unit_id"].alias("unit_id"), score(x).alias("score"))))
+    slots = r.select("claim_id", F.coalesce(ranked, F.array().cast("array<struct<by:double,o:int,unit_id:bigint,score:double>>")).alias("s"))
+    slots = slots.select("claim_id", "s", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    at = F.get("s", F.col("rank") - 1)
+    return slots.select("claim_id", "rank", at["unit_id"].alias("unit_id"), at["score"].alias("score"), at.isNotNull().alias("mask"))
 
 
 def span_overlaps(claims: DataFrame, spans: DataFrame, key: str) -> DataFrame:

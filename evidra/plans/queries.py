@@ -114,9 +114,22 @@ def top4_slots_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(w.withColumn("n_valid", F.size(F.filter("evidence_mask", lambda x: x))).drop("evidence_mask"), *[f"chunk_{i}_score" for i in range(1, 5)], digits=6)
 
 
-@query()
+_TFIDF = """WITH k AS (SELECT conv_id AS g, conv_id * 1000 + turn AS id, role, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+') AS w, trim(regexp_replace(text, '\\s', ' ', 'g')) AS t FROM conversations),
+    u AS (SELECT * FROM (SELECT g, id, w, row_number() OVER (PARTITION BY g ORDER BY id) AS o FROM k WHERE role <> 'assistant' AND t <> '') WHERE o <= 128),
+    n AS (SELECT g, count(*) AS n FROM u GROUP BY g), c AS (SELECT k.id AS claim, k.g, w, coalesce(n, 0) AS n FROM k LEFT JOIN n ON k.g = n.g WHERE role = 'assistant'),
+    bag AS (SELECT claim, 0 AS o, n, w FROM c UNION ALL SELECT c.claim, u.o, n, u.w FROM c JOIN u ON c.g = u.g),
+    tm AS (SELECT claim, o, n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS x FROM bag),
+    tf AS (SELECT claim, o, n, x, count(*) AS tf FROM tm GROUP BY ALL), df AS (SELECT claim, x, count(*) AS df FROM tf GROUP BY ALL),
+    v AS (SELECT tf.claim, o, tf.x, tf * (ln((2.0 + n) / (1.0 + df)) + 1) AS v FROM tf JOIN df ON tf.claim = df.claim AND tf.x = df.x),
+    nm AS (SELECT claim, o, sqrt(sum(v * v)) AS nm FROM v GROUP BY ALL), p AS (SELECT a.claim, b.o, sum(a.v * b.v) AS p FROM v a JOIN v b ON a.claim = b.claim AND a.x = b.x WHERE a.o = 0 AND b.o > 0 GROUP BY ALL),
+    s AS (SELECT c.claim, u.id, u.o, CASE WHEN n > 4 THEN coalesce(p / (x.nm * y.nm), 0.0) END AS s FROM c JOIN u ON c.g = u.g LEFT JOIN p ON c.claim = p.claim AND u.o = p.o LEFT JOIN nm x ON c.claim = x.claim AND x.o = 0 LEFT JOIN nm y ON c.claim = y.claim AND y.o = u.o),
+    r AS (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY round(coalesce(s, 0), 9) DESC, o) AS r FROM s)
+    SELECT c.claim AS claim_id, CAST(i AS INTEGER) AS rank, r.id AS unit_id, round(s, 8) AS score, r.id IS NOT NULL AS mask FROM (SELECT claim, unnest(range(1, 5)) AS i FROM c) c LEFT JOIN r ON c.claim = r.claim AND c.i = r.r"""
+
+
+@query(_TFIDF)
 def tfidf_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns against the other turns of their conversation."""
+    """Assistant turns against the other turns of their conversation, four slots each."""
     c = table(spark, sf_dir, "conversations").withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
     got = re_.tfidf_top_k(c.where("role = 'assistant'"), c.where("role <> 'assistant'"), "conv_id", "turn_id", "turn_id", "text")
     return rounded(got, "score")

@@ -12,6 +12,8 @@ from evidra.sources.parts import write_parts
 from evidra.sources.writers import exists, read_text, signature, write_text
 
 FINGERPRINT = "execution_fingerprint"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def bind(spark: SparkSession, checkpoint: str, config: dict) -> str:
@@ -35,7 +37,12 @@ def score_available(spark: SparkSession, source: str, schema: str, score: Callab
     mark = bind(spark, checkpoint, config or {})
     stream = spark.readStream.format(kind).schema(schema).load(source)
     new = score(stream.where(F.col(key).isNotNull()).dropDuplicates([key])).withColumn(FINGERPRINT, F.lit(mark))
-    query = new.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)  # keys on disk, not in the executors' heap; a checkpoint keeps the store of its first start
+    try:
+        query = new.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     query.awaitTermination()
 
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from evidra.plans import audits, builds, datasets, learned  # noqa: F401  register their queries
+from evidra.plans import audits, builds, datasets, learned, stores  # noqa: F401  register their queries
 from evidra.plans import queries as q
 from tests.oracle import both
 
