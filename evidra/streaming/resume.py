@@ -12,8 +12,8 @@ from evidra.sources.parts import write_parts
 from evidra.sources.writers import exists, read_text, signature, write_text
 
 FINGERPRINT = "execution_fingerprint"
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys on disk, not in the executors' heap, and stores closed at commit, so that no start leaves open ones behind. A checkpoint keeps the store of its first start.
+STORES = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 
 
 def bind(spark: SparkSession, checkpoint: str, config: dict) -> str:
@@ -37,12 +37,14 @@ def score_available(spark: SparkSession, source: str, schema: str, score: Callab
     mark = bind(spark, checkpoint, config or {})
     stream = spark.readStream.format(kind).schema(schema).load(source)
     new = score(stream.where(F.col(key).isNotNull()).dropDuplicates([key])).withColumn(FINGERPRINT, F.lit(mark))
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)  # keys on disk, not in the executors' heap; a checkpoint keeps the store of its first start
+    before = {k: spark.conf.get(k, None) for k in STORES}
+    for k, v in STORES.items():
+        spark.conf.set(k, v)
     try:
         query = new.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
 
 
