@@ -58,23 +58,26 @@ def stratum_sizes(counts: dict, size: int) -> dict:
     return out
 
 
-def fixed_group_split(df: DataFrame, group: str, label: str, fraction: float, candidates: int = CANDIDATES, seed: int = 0) -> DataFrame:
+def fixed_group_split(df: DataFrame, group: str, label: str, fraction: float, candidates: int = CANDIDATES, seed: int = 0, strict: bool = True) -> DataFrame:
     """group, partition, n, p: of seeded candidate draws the one whose validation part is nearest to the whole.
 
     Each draw takes exactly ceil(fraction x groups) groups (2 at least, 2 fewer than all at most), stratified by whether a group has any positive, without
     replacement. Its objective is |share of groups - fraction| + |share of rows - fraction| + 2 |prevalence - prevalence of all|, to 12 digits; ties go to the
-    draw whose sorted groups come first. Groups are integers. Fewer than two groups with or without positives, or than four in all, are an error.
+    draw whose sorted groups come first. Groups are integers. Fewer than two groups with or without positives, or than four in all, are an error; unless
+    strict is false: then a kind that is absent or alone is a stratum all the same, and of fewer than three groups none is held.
     """
     if not 0 < fraction < 1:
         raise ValueError("the fraction lies between 0 and 1")
     g = settled(totals(df, group, label), "totals")
     whole = {r["positive"]: (r["g"], r["n"], r["p"]) for r in g.groupBy("positive").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum("p").alias("p")).collect()}
     groups, rows, positives = (sum(v[i] for v in whole.values()) for i in range(3))
-    if groups < 4 or min(whole.get(s, (0,))[0] for s in (False, True)) < 2:
+    if strict and (groups < 4 or min(whole.get(s, (0,))[0] for s in (False, True)) < 2):
         raise ValueError("a grouped split needs two groups with and two without positives")
     size = max(2, math.ceil(fraction * groups))
     size = groups - 2 if size >= groups else size
-    share = stratum_sizes({s: v[0] for s, v in whole.items()}, size)
+    if size < 1:
+        return g.select("group", F.lit("train").alias("partition"), "n", "p")
+    share = stratum_sizes({s: whole.get(s, (0,))[0] for s in (False, True)}, size)
     each = g.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
     each = each.withColumn("h", draw(F.col("group"), F.col("candidate"), seed))
     held = settled(smallest(each, ["candidate", "positive"], "h", ["group"], F.when(F.col("positive"), share[True]).otherwise(share[False])), "draws")

@@ -96,7 +96,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
            SELECT gp.grp AS "group", CASE WHEN gp.grp IN (SELECT grp FROM held WHERE candidate = (SELECT candidate FROM best)) THEN 'validation' ELSE 'train' END AS partition, gp.n, gp.p FROM gp""")
 def fixed_size_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources split by the best of 128 stratified draws of exactly a fifth of them."""
-    return sp.fixed_group_split(_rows(spark, sf_dir), "source_id", "toxic", 0.2)
+    return sp.fixed_group_split(_rows(spark, sf_dir), "source_id", "toxic", 0.2, strict=False)  # in large tables every source has a positive
 
 
 @query()

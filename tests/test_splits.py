@@ -68,6 +68,34 @@ def test_fixed_split_ties_and_errors(spark):
         sp.fixed_group_split(table(spark, sizes), "g", "y", 1.0)
 
 
+@pytest.mark.parametrize("sizes", [{g: (2 + g % 3, 1 + g % 2) for g in range(9)}, {g: (2 + g % 3, 0) for g in range(9)}, {g: (3, int(g == 4)) for g in range(9)}, {1: (2, 1), 2: (3, 0), 5: (1, 1)}, {1: (2, 1), 2: (2, 0)}, {1: (2, 1)}, {}])
+def test_fixed_split_of_one_kind(spark, sizes):
+    """Strata that are absent or of one group, by the query's SQL."""
+    from evidra.plans import learned  # noqa: F401  registers its queries
+    from evidra.plans import queries as q
+
+    rows, pos = sum(n for n, _ in sizes.values()), sum(p for _, p in sizes.values())
+
+    def loss(v):
+        n, p = sum(sizes[g][0] for g in v), sum(sizes[g][1] for g in v)
+        return round(abs(len(v) / len(sizes) - 0.2) + abs(n / rows - 0.2) + 2 * abs(p / n - pos / rows), 12)
+
+    want = min(((loss(v), v) for v in draws(sizes, 0.2, sp.CANDIDATES, 0)), default=None)[1] if len(sizes) > 2 else []
+    got = sp.fixed_group_split(table(spark, sizes), "g", "y", 0.2, strict=False).collect()
+    assert sorted(r.group for r in got if r.partition == "validation") == want and {r.group: (r.n, r.p) for r in got} == sizes
+    if not sizes:
+        return  # the SQL divides by the number of groups
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR)")
+    con.execute("CREATE TABLE labels (doc_id BIGINT, toxic INTEGER)")
+    for k, (g, i, p) in enumerate((g, i, p) for g, (n, p) in sizes.items() for i in range(n)):
+        con.execute("INSERT INTO documents VALUES (?, ?)", [k, f"src{g}"])
+        con.execute("INSERT INTO labels VALUES (?, ?)", [k, int(i < p)])
+    assert sorted((r.group, r.partition, r.n, r.p) for r in got) == sorted(con.execute(q.ORACLES["fixed_size_split"]).fetchall())
+
+
 @pytest.mark.parametrize("bins", [1, 7, 5000])
 def test_smallest(spark, bins):
     rng = random.Random(bins)
