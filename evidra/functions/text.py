@@ -53,6 +53,12 @@ def word_count(x: Column | str) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(r"(?U)\w+"), F.lit(0)))
 
 
+def has_words(x: Column | str, least: int) -> Column:
+    """Whether word_count is least or more; what follows the last of these words isn't read."""
+    some = rf"(?U)\A\W*+\w++(?:\W++\w++){{{least - 1}}}"
+    return F.coalesce(_c(x), F.lit("")).rlike(some) if least > 0 else F.lit(True)
+
+
 def sha_key(*parts: Column | str) -> Column:
     """sha256 of the parts with a unit separator between."""
     return F.sha2(F.concat_ws(chr(31), *[_c(p).cast("string") for p in parts]), 256)
@@ -66,7 +72,7 @@ def pair_id(a: Column | str, b: Column | str) -> Column:
 def surface(x: Column | str) -> dict[str, Column]:
     """Surface features of a text by name."""
     t = F.coalesce(_c(x), F.lit(""))
-    n = F.size(sentences(t))
+    n = sentence_count(t)
     return {
         "n_words": F.size(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))),
         "n_chars": F.length(t),
@@ -76,7 +82,7 @@ def surface(x: Column | str) -> dict[str, Column]:
         "has_digit": t.rlike(r"(?U)\d"),
         "has_quote": t.rlike(QUOTES),
         "has_negation": t.rlike(NEGATION),
-        "ends_sentence": F.regexp_replace(t, _EDGES, "").rlike(TERMINAL),
+        "ends_sentence": F.substring(F.btrim(t, F.lit(_WHITE)), -1, 1).rlike(TERMINAL),
     }
 
 
@@ -140,57 +146,83 @@ def indexed_passages(x: Column | str) -> Column:
     return F.when(t.rlike(_MARK), F.filter(marked, lambda p: p["text"] != "")).otherwise(plain)
 
 
-#: Lengths that are summed at once: prefix sums cost this many steps a value.
-_BLOCK = 256
+#: Values of a block of a running sum.
+_BLOCK = 32
+
+
+def _starts(n: Column, levels: int = 2) -> Column:
+    """Sums of all earlier values of an array that isn't empty: each block sums its own, the blocks' totals are summed in the same way, so that the
+    work is in proportion to the array."""
+    grow = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
+    if not levels:
+        return F.aggregate(n, F.array(F.lit(0)), grow)
+
+    def carried(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.element_at(b, -1))
+        before = let(totals, lambda v: _starts(v, levels - 1))
+        return let(before, lambda k: F.flatten(F.transform(blocks, lambda b, i: let(F.get(k, i), lambda c: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda v: v + c)))))
+
+    own = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda k: F.aggregate(F.slice(n, k * _BLOCK + 1, F.lit(_BLOCK)), F.array(F.lit(0)), grow))
+    return let(own, carried)
 
 
-def _starts(n: Column) -> Column:
-    """Sums of all earlier values of an array, by blocks, so that long arrays cost little more than their length."""
-    add = lambda a, b: a + b
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda k: F.aggregate(F.slice(n, k * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), add))
-    before = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+_SENTENCES = "array<struct<start:int,end:int,text:string>>"
 
-    def start(k: Column) -> Callable[[Column], Column]:
-        def at(i: Column) -> Column:
-            b = F.floor(i / _BLOCK).cast("int")
-            return F.get(k, b) + F.aggregate(F.slice(n, b * _BLOCK + 1, i - b * _BLOCK), F.lit(0), add)
 
-        return at
+def _bodies(p: Column) -> Column:
+    """(start, end, text) of the pieces of a text, in its characters, without white space around them."""
 
-    return let(before, lambda k: F.transform(F.sequence(F.lit(0), F.size(n) - 1), start(k)))
+    def one(piece: Column, a: Column) -> Column:
+        lead = F.length(piece) - F.length(F.ltrim(piece, F.lit(_WHITE)))
+        body = F.btrim(piece, F.lit(_WHITE))
+        return F.struct((a + lead).alias("start"), (a + lead + F.length(body)).alias("end"), body.alias("text"))
+
+    return let(F.transform(p, F.length), lambda n: let(_starts(n), lambda s: F.filter(F.zip_with(p, F.slice(s, F.lit(1), F.size(p)), one), lambda r: r["end"] > r["start"])))
 
 
 def sentence_texts(x: Column | str) -> Column:
     """(start, end, text) of sentences: half-open character ranges, trimmed; the whole text if there is no end inside; none for a blank one."""
     t = F.coalesce(_c(x), F.lit(""))
+    return F.when(blank(t), F.array().cast(_SENTENCES)).otherwise(let(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), _bodies))
 
-    def ranges(p: Column) -> Column:
-        def one(piece: Column, a: Column) -> Column:
-            lead = F.length(piece) - F.length(F.ltrim(piece, F.lit(_WHITE)))
-            body = F.btrim(piece, F.lit(_WHITE))
-            return F.struct((a + lead).alias("start"), (a + lead + F.length(body)).alias("end"), body.alias("text"))
 
-        return let(F.transform(p, F.length), lambda n: let(_starts(n), lambda s: F.filter(F.zip_with(p, s, one), lambda r: r["end"] > r["start"])))
+def sentence_count(x: Column | str) -> Column:
+    """How many sentence_texts has. A piece ends behind a mark and the next one begins with a letter or the like, so only a blank text has a blank piece."""
+    t = F.coalesce(_c(x), F.lit(""))
+    return F.when(F.btrim(t, F.lit(_WHITE)) == "", 0).otherwise(F.size(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0))))
 
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    return F.when(blank(t), none).otherwise(let(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), ranges))
 
-
-def sentences(x: Column | str) -> Column:
-    """(start, end) of sentence_texts."""
-    return F.transform(sentence_texts(x), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+def _runs(ranges: Column, spans: Column) -> Column:
+    """(i, n): place and length of the runs of ranges in which a span (start, end) touches each two neighbours."""
+    meet = lambda a, b: F.coalesce(F.exists(spans, lambda s: (s["start"] < a["end"]) & (s["end"] > b["start"]) & (s["start"] < s["end"])), F.lit(False))
+    places = F.when(F.size(ranges) > 0, F.sequence(F.lit(0), F.size(ranges) - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: (i == 0) | ~meet(F.get(ranges, i - 1), F.get(ranges, i)))
+    return let(first, lambda f: F.transform(f, lambda i, k: F.struct(i.alias("i"), (F.coalesce(F.get(f, k + 1), F.size(ranges)) - i).alias("n"))))
 
 
 def joined_ranges(ranges: Column, spans: Column) -> Column:
-    """Ranges of which a span (start, end) touches several become one: neighbours always, so a sweep is enough."""
+    """Ranges of which a span (start, end) touches several become one: neighbours always, so each is compared with the one before it."""
+    joined = lambda r: F.transform(_runs(r, spans), lambda x: F.struct(F.get(r, x["i"])["start"].alias("start"), F.get(r, x["i"] + x["n"] - 1)["end"].alias("end")))
+    return let(ranges, joined)
+
+
+def joined_sentences(x: Column | str, spans: Column) -> Column:
+    """sentence_texts with joined_ranges; the text of several is that of their pieces, which lie end to end."""
+    t = F.coalesce(_c(x), F.lit(""))
+
+    def claims(p: Column, s: Column) -> Column:
+        def one(r: Column) -> Column:
+            whole = F.btrim(F.array_join(F.slice(p, r["i"] + 1, r["n"]), ""), F.lit(_WHITE))
+            return F.when(r["n"] == 1, F.get(s, r["i"])).otherwise(F.struct(F.get(s, r["i"])["start"].alias("start"), F.get(s, r["i"] + r["n"] - 1)["end"].alias("end"), whole.alias("text")))
 
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        meet = F.exists(spans, lambda s: (s["start"] < last["end"]) & (s["end"] > r["start"]) & (s["start"] < s["end"]))
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), r["end"].alias("end"))))
-        return F.when(F.size(acc) == 0, F.array(r)).when(meet, longer).otherwise(F.concat(acc, F.array(r)))
+        return F.transform(_runs(s, spans), one)
 
-    return F.aggregate(ranges, F.array().cast("array<struct<start:int,end:int>>"), step)
+    return F.when(blank(t), F.array().cast(_SENTENCES)).otherwise(let(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(0)), lambda p: let(_bodies(p), lambda s: claims(p, s))))
+
+
+def sentences(x: Column | str) -> Column:
+    """(start, end) of sentence_texts."""
+    return F.transform(sentence_texts(x), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
 
 
 def sentence_windows(x: Column | str, size: int = 3, stride: int = 2) -> Column:

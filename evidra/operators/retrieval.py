@@ -110,7 +110,7 @@ def sentence_claims(df: DataFrame, id_col: str, text_col: str, min_words: int =
     """A row for each sentence with at least min_words words: claim_index counts all sentences, so indices may skip."""
     s = df.select(F.col(id_col), F.posexplode(tx.sentence_texts(text_col)).alias("claim_index", "r"))
     s = s.select(id_col, "claim_index", F.col("r.start").alias("claim_start"), F.col("r.end").alias("claim_end"), F.col("r.text").alias("claim"))
-    return s.where(tx.word_count("claim") >= min_words).withColumn("example_id", F.concat_ws(":", F.col(id_col).cast("string"), "claim_start", "claim_end"))
+    return s.where(tx.has_words("claim", min_words)).withColumn("example_id", F.concat_ws(":", F.col(id_col).cast("string"), "claim_start", "claim_end"))
 
 
 def labelled_claims(df: DataFrame, id_col: str, text_col: str, spans_col: str, min_words: int = 3, granularity: str = "claim", merge: bool = True) -> DataFrame:
@@ -123,10 +123,11 @@ def labelled_claims(df: DataFrame, id_col: str, text_col: str, spans_col: str, m
         return whole.where("claim <> ''").withColumn("example_id", F.concat_ws(":", F.col(id_col).cast("string"), "claim_start", "claim_end"))
     if granularity != "claim":
         raise ValueError(f"granularity must be claim or response, not {granularity}")
-    ranges = tx.joined_ranges(tx.sentences(t), spans) if merge else tx.sentences(t)
-    s = df.select(F.col(id_col), t.alias("__t"), spans.alias("__s"), F.posexplode(ranges).alias("claim_index", "__r"))
-    s = s.select(id_col, "claim_index", F.col("__r.start").alias("claim_start"), F.col("__r.end").alias("claim_end"), F.col("__t").substr(F.col("__r.start") + 1, F.col("__r.end") - F.col("__r.start")).alias("claim"), label_of(F.col("__r"), F.col("__s")).alias("label"))
-    return s.where(tx.word_count("claim") >= min_words).withColumn("example_id", F.concat_ws(":", F.col(id_col).cast("string"), "claim_start", "claim_end"))
+    claims = tx.joined_sentences(t, spans) if merge else tx.sentence_texts(t)
+    # the label is set before rows are made of the claims: these don't carry the text or the spans
+    rows = F.transform(claims, lambda r: F.struct(r["start"].alias("claim_start"), r["end"].alias("claim_end"), r["text"].alias("claim"), label_of(r, spans).alias("label")))
+    s = df.select(F.col(id_col), F.posexplode(rows).alias("claim_index", "__r")).select(id_col, "claim_index", "__r.*")
+    return s.where(tx.has_words("claim", min_words)).withColumn("example_id", F.concat_ws(":", F.col(id_col).cast("string"), "claim_start", "claim_end"))
 
 
 def label_of(claim: Column, spans: Column) -> Column:

@@ -21,6 +21,7 @@ from evidra.operators import report as rp
 from evidra.operators import retrieval as re_
 from evidra.operators import views as vw
 from evidra.sources.readers import table
+from evidra.sources.writers import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -637,7 +638,8 @@ def surface_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = tx.surface("text")
     d = table(spark, sf_dir, "documents").select("doc_id", "source", *[v.cast("double").alias(k) for k, v in f.items()])
     d = d.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    d = d.withColumn("held", vw.bucket(F.crc32(F.col("source").cast("binary")), 5) == 0)
+    # the fit and the scores read the features several times; texts are read once
+    d = settled(d.withColumn("held", vw.bucket(F.crc32(F.col("source").cast("binary")), 5) == 0), "surface")
     n = d.where("NOT held").groupBy("label").agg(F.count("*").alias("c"))
     train = d.where("NOT held").join(F.broadcast(n), "label").withColumn("w", 1.0 / F.col("c"))
     to = VectorAssembler(inputCols=list(f), outputCol="raw")

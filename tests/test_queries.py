@@ -117,3 +117,7 @@ def test_blank_slots_are_like_nothing(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.conv_id, r.slot_a, r.slot_b): (r.jaccard, r.near) for r in q.QUERIES["slot_similarity"](spark, str(tmp_path)).collect()}
     assert got.pop((1, 3, 4)) == (1.0, True) and len(got) == 6 and set(got.values()) == {(0.0, False)}
+
+
+def test_surface_baseline_reads_texts_once(spark):
+    assert not any("documents.parquet" in f for f in q.QUERIES["surface_baseline"](spark, SF).inputFiles())

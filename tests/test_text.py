@@ -142,3 +142,37 @@ def test_labels_and_flags(spark):
 def test_slots(spark):
     got = value(spark, sc.padded_slots(F.array(F.lit("a")), F.lit("")))
     assert got == ["a", "", "", ""]
+
+
+ODD = ["", " ", "\x1c", "\x1c \n", "a", "A. B", " A.  B. \n", "\x1d A.\x1f B! 'C?' (D", "x y z. 1 2 3.\n\n“Q w e.” R", "É. Ü ß. 7-8 d'e’f.", "one.Two. Three ", *[" ".join(f"W{i} x{'.' * (i % 3 == 0)}" for i in range(n)) for n in (95, 97, 3200)]]
+
+
+def test_counts_of_odd_texts(spark):
+    """Sentences and words are counted as they are listed; the end of a text is that of the trimmed one."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([None, *ODD])], "i int, t string")
+    f = tx.surface("t")
+    least = [tx.has_words("t", k) == (tx.word_count("t") >= k) for k in range(5)]
+    ends = F.regexp_replace(F.coalesce("t", F.lit("")), tx._EDGES, "").rlike(tx.TERMINAL)
+    for r in df.select("i", "t", f["n_sentences"].alias("n"), F.size(tx.sentence_texts("t")).alias("m"), (f["ends_sentence"] == ends).alias("e"), F.array(*least).alias("w")).collect():
+        assert r.n == r.m and r.e and all(r.w), r.i
+
+
+def test_claims_carry_no_text(spark):
+    """Joined sentences are cut from the text as its characters say; rows of claims hold neither the text nor the spans."""
+    spans = {i: [(a, a + n) for a, n in ((0, 9), (1, 2), (40, 30), (45, 0), (len(t) - 3, 9)) if a >= 0] for i, t in enumerate(ODD)}
+    df = spark.createDataFrame([(i, t, spans[i]) for i, t in enumerate(ODD)], "id int, t string, s array<struct<start:int,end:int>>")
+    got = re_.labelled_claims(df, "id", "t", "s", min_words=0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr" not in plan[: plan.index("Generate")]  # above, the text would be searched for every claim
+    rows = {i: [] for i in range(len(ODD))}
+    for r in got.orderBy("id", "claim_index").collect():
+        rows[r.id].append(r)
+        assert r.claim == ODD[r.id][r.claim_start : r.claim_end] and r.label == any(s < r.claim_end and e > r.claim_start for s, e in spans[r.id])
+    for i, t in enumerate(ODD):
+        want = []
+        for a, b in cut(t):
+            if want and any(s < want[-1][1] and e > a and s < e for s, e in spans[i]):
+                want[-1] = (want[-1][0], b)
+            else:
+                want.append((a, b))
+        assert [(r.claim_start, r.claim_end) for r in rows[i]] == want
