@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -288,6 +289,18 @@ def test_two_layouts_of_a_host():
     assert html_text.extract(two[1], w) == f"tale 1 {'much ' * 29}much"
 
 
+@pytest.mark.parametrize("n_layouts", [None, 1, 4, 20])
+def test_all_layouts_of_a_host_count(spark, n_layouts):
+    """Twenty-one layouts of one host, the last with a content of its own: the wrappers are those of the plain loop over all, in however many rounds."""
+    one = [plain_page(i, f"<section class=k{i % 20}><div>{i % 3 and i}</div></section>")[0] for i in range(100)]
+    two = [f"<body><main><div>Same line</div><div><div><p>tale {i} {'much ' * 30}</p></div></div></main></body>" for i in range(4)]
+    want = html_text.induce(layouts_of(one + two))
+    rows = [("big.example", p) for p in one + two] + [("small.example", p) for p in one[:3]] + [(None, one[0])]
+    df = spark.createDataFrame(rows, "host string, html string").repartition(3)
+    got = {r.host: json.loads(r.wrappers) for r in html_text.wrappers(df, *([n_layouts] if n_layouts else [])).collect()}
+    assert len(want) > 1 and got == {"big.example": want, "small.example": html_text.induce(layouts_of(one[:3]))}
+
+
 def test_matching():
     a, b = (html_text.shape(html_text.parse(x)) for x in ("<div>a<section>b</section></div><div>c</div>", "<div>a<section>b</section></div><main>m</main><div>c<div>d</div></div>"))
     assert html_text.tree_match(a, b)[0] == 7
