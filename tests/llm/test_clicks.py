@@ -99,3 +99,33 @@ def test_empty_and_odd_rows(spark, tmp_path):
     assert got(cd.op11_click_dedup(spark, f"{tmp_path}/a")) == want
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/clicks.parquet")
     assert cd.op11_click_dedup(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_every_event_is_a_row_of_the_feed(spark):
+    """The stream reads single events, several starts on one checkpoint; the state packs them."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Fed(StreamingQueryListener):
+        def __init__(self):
+            self.rows = {}
+
+        def onQueryStarted(self, event):
+            self.rows.setdefault((str(event.id), str(event.runId)), 0)
+
+        def onQueryProgress(self, event):
+            self.rows[str(event.progress.id), str(event.progress.runId)] += event.progress.numInputRows
+
+        def onQueryTerminated(self, event):
+            pass
+
+    events = [(c, 480_000 + 60 * b + c % 7, bytes([c % 256]) * 32, 1, b) for c in range(1500) for b in range(3)]
+    df = spark.createDataFrame(events, "click_id long, hour long, hash binary, n long, batch int").repartition(3)
+    fed = Fed()
+    spark.streams.addListener(fed)
+    try:
+        windows = got(cd.run_batches(spark, df, 3, 2))
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(fed)
+    assert windows == brute_windows([(c, h, x.hex(), b) for c, h, x, _, b in events], 3)
+    assert len({i for i, _ in fed.rows}) == 1 and len(fed.rows) == 4 and len(events) <= sum(fed.rows.values()) <= len(events) + 2
