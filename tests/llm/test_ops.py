@@ -313,6 +313,31 @@ def test_matching():
         html_text.TABLE = table
 
 
+def test_many_children_are_matched_in_full():
+    """Above TABLE pairs of children the score is that of the whole table, and the pairs are as many and keep order."""
+    shape = html_text.Shape
+    boxes = lambda: [shape("div", [shape("p") for _ in range(i % 3)]) for i in range(600)]
+    assert html_text.tree_match(shape("body", [shape("nav"), *boxes()]), shape("body", [*boxes(), shape("nav")]))[0] == 1201
+    rng = random.Random(3)
+
+    def tree(depth):
+        return shape(rng.choice("abc"), [tree(depth - 1) for _ in range(rng.randint(0, 5))] if depth else [])
+
+    table = html_text.TABLE
+    for _ in range(60):
+        a, b = shape("r", [tree(2) for _ in range(9)]), shape("r", [tree(2) for _ in range(8)])
+        want = html_text.tree_match(a, b)[0]
+        try:
+            html_text.TABLE = 0
+            score, pairs = html_text.tree_match(a, b)
+        finally:
+            html_text.TABLE = table
+        left, right = ({id(x): i for i, x in enumerate(t.nodes())} for t in (a, b))
+        places = sorted((left[id(p)], right[id(q)]) for p, q in pairs)
+        assert score == want == len(pairs) and all(p.key == q.key for p, q in pairs)
+        assert all(p < q and x < y for (p, x), (q, y) in zip(places, places[1:], strict=False))
+
+
 @pytest.mark.parametrize("depth", [50, 101, 4000])
 def test_deep_pages_follow_one_rule(depth):
     pages = [f"<body><div><a href=x>menu {i} {i * i}</a></div>{'<div>' * depth}<p>text {i} {'and ' * 20}</p>{'<div>x</div>' * 2}" for i in range(5)]
