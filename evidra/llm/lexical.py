@@ -28,6 +28,9 @@ from evidra.llm.common import materialise, ship, text_slices
 
 #: Results of a query; documents and index entries of a block at most; blocks a query scores for its first threshold; weights of a group of queries.
 TOP, BLOCK_DOCS, BLOCK_ENTRIES, FIRST, CELLS = 10, 32, 1 << 15, 2, 4 << 20
+#: A block has some 100 KB, up to 1 MB: rows of an Arrow batch of them, and the writer's options for small row groups, which a reader holds whole.
+INDEX_ROWS = 16
+SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 8}
 #: [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]: digits, ASCII letters, everything beyond ASCII.
 IS_TERM = np.zeros(256, bool)
 for _low, _high in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -104,7 +107,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     n, terms = rows.select("text").mapInArrow(_count, "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
-    return materialise(rows.mapInArrow(_index(n, terms), "block long, " + ", ".join(f"{c} binary" for c in _PARTS)), "lexical"), n, terms
+    return materialise(rows.mapInArrow(_index(n, terms), "block long, " + ", ".join(f"{c} binary" for c in _PARTS)), "lexical", **SMALL_GROUPS), n, terms
 
 
 class Queries:
@@ -256,6 +259,8 @@ def search(index: DataFrame, docs: int, terms: int, queries: DataFrame, item_col
     """
     spark = index.sparkSession
     ship(spark)
+    # until another operator runs, so for the result's plan, too
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(INDEX_ROWS))
     sc = spark.sparkContext
     kind = queries.schema[item_col].dataType.simpleString()
     lines = ((r[0], r[1]) for r in queries.where(F.col(item_text).isNotNull()).select(item_col, item_text).toLocalIterator())

@@ -91,3 +91,15 @@ def test_bounds_prune(spark):
 def _raw(text):
     raw = lx.np.frombuffer(text.encode(), lx.np.uint8)
     return raw, lx.np.array([0, len(raw)])
+
+
+def test_index_is_read_in_small_pieces(spark):
+    """Blocks of long texts: row groups of the index, which a reader holds whole, stay small."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(900))) for i in range(2000)]
+    index, docs, n = lx.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    groups = [g for f in index.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for g in map(m.row_group, range(m.num_row_groups))]
+    assert docs == 2000 and sum(g.num_rows for g in groups) > 60
+    assert max(g.total_byte_size for g in groups) < 16 << 20
